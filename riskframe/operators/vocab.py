@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from riskframe.functions.text import SPACE, strip_accents
+from riskframe.functions.wordlists import STOP_WORDS
 from riskframe.operators.lookup import lookup_join
 from riskframe.operators.rank import add_range_buckets, running_totals
 from riskframe.session import checkpointed
@@ -20,15 +22,12 @@ from riskframe.session import checkpointed
 TERM_PATTERN = r"([\p{L}\p{N}_]+)"
 
 
-def default_stop_words() -> list[str]:
-    """The English list Spark ships; pass another one for other results."""
-    return list(StopWordsRemover.loadDefaultStopWords("english"))
+def bow_tokens(c: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """Lower-cased runs of letters, digits and underscores, without stop words.
 
-
-def bow_tokens(c: Column, stop_words: Sequence[str] | None = None) -> Column:
-    """Lower-cased runs of letters, digits and underscores, without stop words."""
+    Vectorizers ship stop lists of their own; pass theirs for the same vocabulary.
+    """
     tokens = F.regexp_extract_all(F.lower(c), F.lit(TERM_PATTERN), F.lit(1))
-    stop_words = default_stop_words() if stop_words is None else stop_words
     if not stop_words:
         return tokens
     return F.filter(tokens, lambda x: ~x.isin(*stop_words))
@@ -225,4 +224,4 @@ def tfidf(
 
 def char_terms(c: Column) -> Column:
     """Lower-cased characters without accents, runs of white space as one space."""
-    return F.regexp_replace(F.lower(c), r"\s\s+", " ")
+    return F.regexp_replace(strip_accents(F.lower(c)), f"[{SPACE}]{{2,}}", " ")
