@@ -6,7 +6,7 @@ from importlib import import_module
 
 from riskframe.plans import registry
 
-MODULES = ("relational",)
+MODULES = ("judging",)
 
 
 def _load() -> None:
