@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.operators.rank import RANGE_BUCKETS, add_range_buckets, running_totals
+from riskframe.session import checkpointed
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -43,7 +44,8 @@ def curve_counts(
     **sums: Column,
 ) -> DataFrame:
     """Score counts with ``tp`` and ``fp`` at the threshold ``score``, ``pos_all``, ``neg_all``."""
-    counts = score_counts(df, label, score, by, **sums)
+    # Computed once: whatever produced the scores is not run again for the cut points.
+    counts = checkpointed(score_counts(df, label, score, by, **sums))
     bucketed = add_range_buckets(counts, ["score"], ["_bucket"], buckets)
     totals = running_totals(
         bucketed,

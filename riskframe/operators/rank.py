@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HASH_DIGITS = 3
 RANGE_BUCKETS = 1024
+ROWS_PER_BUCKET = 10_000
 
 
 def hash_key(key: str | Column, seed: int) -> Column:
@@ -33,41 +34,44 @@ def hash_bucket(digest: Column, digits: int = HASH_DIGITS) -> Column:
 def range_cuts(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[float]]:
     """Ascending cut points per column, from one pass of mergeable sketches.
 
-    The cuts only balance the buckets; any cuts give the same totals.
+    The cuts only balance the buckets; any cuts give the same totals. A table with
+    few rows gets fewer of them, one for every ``ROWS_PER_BUCKET`` rows.
     """
-    shares = [i / buckets for i in range(1, buckets)]
+    shares = ", ".join(f"{i / buckets}d" for i in range(1, buckets))
     row = df.agg(
+        F.count("*").alias("rows"),
         *[
-            F.percentile_approx(F.col(c).cast("double"), shares).alias(str(i))
+            F.expr(f"percentile_approx(cast(`{c}` as double), array({shares}))").alias(str(i))
             for i, c in enumerate(columns)
-        ]
+        ],
     ).first()
-    return [sorted({v for v in row[i] or () if v == v}) for i in range(len(columns))]
+    wanted = max(1, min(buckets, row["rows"] // ROWS_PER_BUCKET))
+    step = buckets // wanted
+    cuts = [(row[str(i)] or [])[step - 1 :: step][: wanted - 1] for i in range(len(columns))]
+    return [sorted({v for v in c if v == v}) for c in cuts]
 
 
 def add_range_buckets(
     df: DataFrame, columns: Sequence[str], names: Sequence[str], buckets: int = RANGE_BUCKETS
 ) -> DataFrame:
     """Add an int bucket per column that grows with the column's value."""
-    inf = float("inf")
     cuts = range_cuts(df, columns, buckets)
-    cast_names = [f"_{n}_double" for n in names]
-    out = df.withColumns({d: F.col(c).cast("double") for d, c in zip(cast_names, columns)})
+    if not any(cuts):
+        return df.withColumns({n: F.lit(0) for n in names})
+    inf = float("inf")
+    as_double = [f"_{n}_double" for n in names]
+    out = df.withColumns({d: F.col(c).cast("double") for d, c in zip(as_double, columns)})
     bucketizer = Bucketizer(
-        inputCols=cast_names,
+        inputCols=as_double,
         outputCols=list(names),
-        splitsArray=[[-inf, *(v for v in c if abs(v) != inf), inf] for c in _padded(cuts)],
+        # Every column needs an inner split.
+        splitsArray=[[-inf, *([v for v in c if abs(v) != inf] or [0.0]), inf] for c in cuts],
         handleInvalid="keep",
     )
-    out = bucketizer.transform(out).drop(*cast_names)
+    out = bucketizer.transform(out).drop(*as_double)
     return out.withColumns({n: F.col(n).cast("int") for n in names})
 
 
-def _padded(cuts: list[list[float]]) -> list[list[float]]:
-    # Bucketizer wants at least one inner split.
-    return [c or [0.0] for c in cuts]
-
-
 def running_totals(
     df: DataFrame,
     totals: Mapping[str, Column],

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from riskframe.plans import registry
 
-MODULES = ("judging",)
+MODULES = ("relational", "texts", "judging")
 
 
 def _load() -> None:
