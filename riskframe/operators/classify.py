@@ -63,6 +63,7 @@ def fit_logistic(
     C: float = 0.1,
     weights: Mapping[int, float] | str | None = FIXED_WEIGHTS,
     max_iter: int = 100,
+    tol: float = 1e-6,
 ) -> Model:
     """L2 logistic regression minimising ``|b|^2 / 2 + C * sum(weight * loss)``.
 
@@ -79,7 +80,7 @@ def fit_logistic(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-8,
+        tol=tol,
     ).fit(weighted)
 
 

@@ -225,3 +225,16 @@ def tfidf(
 def char_terms(c: Column) -> Column:
     """Lower-cased characters without accents, runs of white space as one space."""
     return F.regexp_replace(strip_accents(F.lower(c)), f"[{SPACE}]{{2,}}", " ")
+
+
+def dict_vectorize(df: DataFrame, key: str, record: str) -> DataFrame:
+    """Long form ``(key, feature_id, value)`` of a map column; ids from 0 in name order."""
+    cells = df.select(key, F.explode(record).alias("_name", "value"))
+    by_name = Window.partitionBy().orderBy("_name")
+    # One row per feature name, of which a model has a bounded number.
+    names = cells.select("_name").distinct().withColumn(
+        "feature_id", (F.row_number().over(by_name) - 1).cast("long")
+    )
+    return lookup_join(cells, names, ["_name"], "inner", spread_by=[key, "_name"]).select(
+        key, "feature_id", "value"
+    )

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from riskframe.plans import registry
 
-MODULES = ("relational", "texts", "judging")
+MODULES = ("relational", "texts", "judging", "models", "extras")
 
 
 def _load() -> None:
