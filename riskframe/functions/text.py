@@ -8,9 +8,11 @@ which are those of Unicode, not of ASCII.
 from __future__ import annotations
 
 import unicodedata
+import sys
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions.wordlists import CONTRACTED_VERBS
@@ -18,6 +20,12 @@ from riskframe.functions.wordlists import CONTRACTED_VERBS
 # Class body of the characters Python's str.split() and str.strip() treat as space.
 SPACE = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 WORD = f"[^{SPACE}]+"
+# The same characters one by one, for trimming.
+SPACE_CHARS = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+
+# Code that runs in Python workers travels with the task, so that workers do not
+# need this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @lru_cache(maxsize=1)
@@ -60,7 +68,8 @@ def strip_accents(c: Column, all_scripts: bool = False) -> Column:
 
 def expand_contractions(c: Column) -> Column:
     """Write out thirteen negative contractions: cut ``n't``, add `` not``."""
-    return F.regexp_replace(c, f"({'|'.join(CONTRACTED_VERBS)})n't", "$1 not")
+    # The rare ending comes first, the verbs are only looked back for where it stands.
+    return F.regexp_replace(c, f"n't(?<=(?:{'|'.join(CONTRACTED_VERBS)})n't)", " not")
 
 
 def strip_br(c: Column) -> Column:
@@ -85,9 +94,7 @@ def mask_digits(c: Column) -> Column:
 
 def squeeze_spaces(c: Column) -> Column:
     """Collapse runs of spaces, then strip all white space from both ends."""
-    return F.regexp_replace(
-        F.regexp_replace(c, " +", " "), f"^[{SPACE}]+|[{SPACE}]+$", ""
-    )
+    return F.btrim(F.regexp_replace(c, " {2,}", " "), F.lit(SPACE_CHARS))
 
 
 def normalize_text(c: Column, all_scripts: bool = False) -> Column:
@@ -105,9 +112,12 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({WORD})"), F.lit(1))
 
 
-def preview(df: DataFrame, key: str, text: str, clean: str, rows: int = 20) -> DataFrame:
-    """The first ``rows`` texts beside their normalised and preprocessed form."""
+def preview(df: DataFrame, key: str, text: str, clean: Column, rows: int = 20) -> DataFrame:
+    """The first ``rows`` texts beside their normalised form and the expression ``clean``.
+
+    Rows are chosen first, so nothing is computed for the others.
+    """
     first = df.orderBy(key).limit(rows)
     return first.select(
-        F.col(key), F.col(text), normalize_text(F.col(text)).alias("normalized"), F.col(clean)
+        F.col(key), F.col(text), normalize_text(F.col(text)).alias("normalized"), clean
     )

@@ -25,18 +25,13 @@ from riskframe.functions.wordlists import (
 # Penn Treebank word separation, in its fixed order, on a text padded with spaces.
 # Sentence ends are expected to stand alone already (``text.pad_punctuation``).
 TREEBANK_RULES = (
-    (r'([ (\[{<])"', "$1 `` "),
+    (r'(?<=[ (\[{<])"', " `` "),
     (r'"', " '' "),
     (r"([\]\[(){}<>;@#$%&?!])", " $1 "),
     (r"--", " -- "),
-    (r"([^'])' ", "$1 ' "),
-    (r"([^' ])('[sSmMdD]) ", "$1 $2 "),
-    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
-    (r" ", "  "),
-    (r"(?i) (can)(not) ", " $1 $2 "),
-    (r"(?i) (gim|lem)(me) ", " $1 $2 "),
-    (r"(?i) (gon|wan)(na) ", " $1 $2 "),
-    (r"(?i) (got)(ta) ", " $1 $2 "),
+    (r"(?<=[^'])' ", " ' "),
+    (r"(?<=[^' ])('[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T)(?= )", " $1"),
+    (r"(?i)(?<= )(can(?=not )|(gim|lem)(?=me )|(gon|wan)(?=na )|got(?=ta ))", "$1 "),
 )
 
 
@@ -245,10 +240,12 @@ DEFAULT_TAG = "NN"
 def tag(w: Column) -> Column:
     """Penn Treebank tag of one token, from closed classes, then from its ending."""
     lowered = F.lower(w)
-    out = None
+    closed = F.when(F.lit(False), "")
     for name, members in CLOSED_CLASS_TAGS.items():
-        condition = lowered.isin(*members.split())
-        out = F.when(condition, name) if out is None else out.when(condition, name)
+        closed = closed.when(lowered.isin(*members.split()), name)
+    # One hash lookup sends most words past the closed classes.
+    every = " ".join(CLOSED_CLASS_TAGS.values()).split()
+    out = F.when(lowered.isin(*every), closed)
     out = out.when(~w.rlike(r"[\p{L}\p{N}]"), PUNCTUATION_TAG)
     out = out.when(w.rlike(r"^[\p{Nd}.,/-]+$"), NUMBER_TAG)
     for ending, name in SUFFIX_TAGS:

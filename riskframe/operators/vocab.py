@@ -69,7 +69,7 @@ def with_term_counts(df: DataFrame, terms: str, name: str) -> DataFrame:
 
     Sorts the array and measures its runs.
     """
-    ordered = df.withColumn("_ordered", F.array_sort(terms))
+    ordered = df.withColumn("_ordered", F.sort_array(terms))
     starts = F.filter(
         F.transform(
             "_ordered",

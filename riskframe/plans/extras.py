@@ -119,8 +119,9 @@ def word_vectors(spark, folder):
     return index, checkpointed(vectors.join(index, "word_id").select("term", "embedding"))
 
 
-SQL_DRAW = """mean + std * sqrt(-2 * ln((('0x' || md5(term || ':' || j || ':r')[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))
-  * cos(2 * pi() * (('0x' || md5(term || ':' || j || ':a')[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"""
+SQL_DRAW = """mean + std * sqrt(-2 * ln((('0x' || md5(term || ':' || (j // 2))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))
+  * (CASE WHEN j % 2 = 0 THEN cos(2 * pi() * (('0x' || md5(term || ':' || (j // 2))[9:16])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)
+     ELSE sin(2 * pi() * (('0x' || md5(term || ':' || (j // 2))[9:16])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) END)"""
 
 
 @query(
@@ -132,7 +133,7 @@ SQL_DRAW = """mean + std * sqrt(-2 * ln((('0x' || md5(term || ':' || j || ':r')[
     cells AS (
       SELECT word_id, term, j, CASE WHEN k.embedding IS NULL THEN {SQL_DRAW} ELSE k.embedding[j + 1] END AS v
       FROM word_index LEFT JOIN known k USING (term), m, unnest(range(64)) AS u(j))
-    SELECT word_id, term, round(sum(v), 4) AS total, round(max(v), 5) AS largest, round(min(v), 5) AS smallest
+    SELECT word_id, term, round(sum(v), 4) + 0.0::DOUBLE AS total, round(max(v), 5) AS largest, round(min(v), 5) AS smallest
     FROM cells GROUP BY word_id, term
     """,
 )
@@ -143,7 +144,8 @@ def _(spark, folder):
     return matrix.select(
         "word_id",
         "term",
-        F.round(total, 4).alias("total"),
+        # + 0.0 turns a rounded -0.0 into 0.0
+        (F.round(total, 4) + 0.0).alias("total"),
         F.round(F.array_max("vector"), 5).alias("largest"),
         F.round(F.array_min("vector"), 5).alias("smallest"),
     )

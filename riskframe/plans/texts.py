@@ -306,8 +306,8 @@ def _(spark, folder):
     """,
 )
 def _(spark, folder):
-    cleaned = table(spark, folder, "documents").withColumn("clean_text", tokens.clean_text(F.col("text")))
-    return text.preview(cleaned, "doc_id", "text", "clean_text", rows=20)
+    cleaned = tokens.clean_text(F.col("text")).alias("clean_text")
+    return text.preview(table(spark, folder, "documents"), "doc_id", "text", cleaned, rows=20)
 
 
 # --- Statistics -------------------------------------------------------------------
@@ -472,21 +472,17 @@ def _(spark, folder):
 
 @query(
     "ngrams",
-    f"WITH {SQL_GRAMS} SELECT doc_id, count(*) AS n_grams, count(DISTINCT term) AS n_distinct, "
-    "min(term) AS first_gram, max(term) AS last_gram FROM grams GROUP BY doc_id",
+    f"WITH {SQL_GRAMS} SELECT doc_id, count(term) AS n_grams, count(DISTINCT term) AS n_distinct, "
+    "min(term) AS first_gram, max(term) AS last_gram FROM documents LEFT JOIN grams USING (doc_id) GROUP BY doc_id",
 )
 def _(spark, folder):
     grams = F.col("grams")
-    return (
-        gram_frame(spark, folder)
-        .select(
-            "doc_id",
-            F.size(grams).cast("long").alias("n_grams"),
-            F.size(F.array_distinct(grams)).cast("long").alias("n_distinct"),
-            F.array_min(grams).alias("first_gram"),
-            F.array_max(grams).alias("last_gram"),
-        )
-        .filter(F.col("n_grams") > 0)
+    return gram_frame(spark, folder).select(
+        "doc_id",
+        F.size(grams).cast("long").alias("n_grams"),
+        F.size(F.array_distinct(grams)).cast("long").alias("n_distinct"),
+        F.array_min(grams).alias("first_gram"),
+        F.array_max(grams).alias("last_gram"),
     )
 
 
