@@ -65,8 +65,9 @@ def punctuation_percent(text: Column, w: Column) -> Column:
 
 
 def lexical_diversity(text: Column) -> Column:
-    """Characters per distinct character."""
-    return F.try_divide(F.length(text), F.size(F.array_distinct(F.split(text, ""))))
+    """Characters per distinct character; null for an empty text."""
+    distinct = F.size(F.array_distinct(F.split(text, "")))
+    return F.when(F.length(text) > 0, F.length(text) / distinct)
 
 
 def pick(name: str, text: Column, w: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:

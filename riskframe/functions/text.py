@@ -14,6 +14,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from riskframe.functions.wordlists import CONTRACTED_VERBS
 
@@ -49,7 +50,7 @@ def _bases(text: str) -> str:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _strip_accents_arrow(texts: pd.Series) -> pd.Series:
     return texts.map(_bases, na_action="ignore")
 
