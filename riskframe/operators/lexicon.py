@@ -73,9 +73,10 @@ def rewrite_tokens(
     """``(key, name)``: tokens replaced by ``(token, class) -> lemma`` where listed.
 
     Verb tags look up class ``verb``, all other tags class ``noun``. Every row of
-    ``df`` appears, with an empty array where it has no tokens.
+    ``df`` appears, with an empty array where it has no tokens. Rows move by key
+    while they are still one per text; the exploded tokens then stay in place.
     """
-    tagged = df.select(key, tokens).withColumn("_tags", tag_tokens(F.col(tokens)))
+    tagged = df.select(key, tokens).repartition(key).withColumn("_tags", tag_tokens(F.col(tokens)))
     exploded = tagged.select(
         key, F.posexplode_outer(F.arrays_zip(F.col(tokens).alias("token"), F.col("_tags").alias("tag")))
     ).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from riskframe.session import checkpointed
 
@@ -42,9 +42,11 @@ def lookup_join(
 
     # A hash of the key is enough here: two keys with one hash are both salted.
     key_hash = F.xxhash64(*on)
-    per_key = df.groupBy(key_hash.alias("_hash")).count()
-    total = df.count()
-    hot = [r["_hash"] for r in per_key.filter(F.col("count") > total * HOT_SHARE).collect()]
+    # The hot keys are among the 1/HOT_SHARE most frequent; one pass finds these and the total.
+    seen = Observation()
+    per_key = df.groupBy(key_hash.alias("_hash")).count().observe(seen, F.sum("count").alias("rows"))
+    most = per_key.orderBy(F.desc("count")).limit(int(1 / HOT_SHARE)).collect()
+    hot = [r["_hash"] for r in most if r["count"] > (seen.get["rows"] or 0) * HOT_SHARE]
     if not hot:
         return df.join(table, on, how)
 

@@ -10,7 +10,7 @@ the window share.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -79,15 +79,15 @@ def running_totals(
     order: Sequence[Column],
     by: Sequence[str] = (),
     descending: bool = False,
-    attach: DataFrame | None = None,
+    attach: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add inclusive running totals in ``order`` within the groups of ``by``.
 
     ``totals`` maps a new column to the amount summed. ``<name>_all`` is the total
     of the whole group. ``bucket`` is an existing column that agrees with ``order``;
-    it is dropped from the result. Group columns may be null. ``attach`` is a table
-    with one row per group; its other columns join the small offset table, so the
-    big table never moves by group alone.
+    it is dropped from the result. Group columns may be null. ``attach`` gets the
+    group totals, one row per group, and returns them with more columns; these join
+    the small offset table, so the big table never moves by group alone.
     """
     # A struct key compares nulls as equal, in the join as in the window.
     keyed = df.withColumn("_key", F.struct(*by, bucket)).withColumns(
@@ -106,11 +106,14 @@ def running_totals(
         *[F.sum(n).over(over_group).alias(f"{n}_all") for n in totals],
     )
     if attach is not None:
-        same_group = F.struct(*by).alias("_group")
-        extra = [c for c in attach.columns if c not in by]
+        whole = sums.groupBy(*[F.col(f"_key.{c}").alias(c) for c in by]).agg(
+            *[F.sum(n).alias(n) for n in totals]
+        )
+        attached = attach(whole)
+        extra = [c for c in attached.columns if c not in (*by, *totals)]
         offsets = (
             offsets.withColumn("_group", F.struct(*[F.col(f"_key.{c}").alias(c) for c in by]))
-            .join(attach.select(same_group, *extra), "_group")
+            .join(attached.select(F.struct(*by).alias("_group"), *extra), "_group")
             .drop("_group")
         )
     inside = (
@@ -137,7 +140,7 @@ def hash_rank(
     key: str,
     seed: int,
     by: Sequence[str] = (),
-    attach: DataFrame | None = None,
+    attach: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add ``rank`` (from 1) in seeded pseudo-random order, and ``rank_all`` (group size)."""
     digest = hash_key(key, seed)

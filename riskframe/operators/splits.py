@@ -46,8 +46,10 @@ def stratified_split(
     df: DataFrame, label: str, key: str, holdout: float = 0.3, seed: int = DEFAULT_SEED
 ) -> DataFrame:
     """Add ``part`` = ``train`` or ``holdout``, with exact class quotas."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_size"))
-    quotas = class_quotas(counts, label, "_size", holdout, "_quota").drop("_size")
+
+    def quotas(sizes: DataFrame) -> DataFrame:
+        return class_quotas(sizes, label, "rank", holdout, "_quota")
+
     part = F.when(F.col("rank") <= F.col("_quota"), "train").otherwise("holdout")
     return (
         hash_rank(df, key, seed, by=[label], attach=quotas)
@@ -63,11 +65,12 @@ def train_val_test_split(
 
     With the default share the parts hold 70, 21 and 9 per cent.
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("_size"))
-    first = class_quotas(counts, label, "_size", holdout, "_train").withColumn(
-        "_rest", F.col("_size") - F.col("_train")
-    )
-    quotas = class_quotas(first, label, "_rest", holdout, "_val").drop("_size", "_rest")
+
+    def quotas(sizes: DataFrame) -> DataFrame:
+        first = class_quotas(sizes, label, "rank", holdout, "_train")
+        rest = first.withColumn("_rest", F.col("rank") - F.col("_train"))
+        return class_quotas(rest, label, "_rest", holdout, "_val").drop("_rest")
+
     part = (
         F.when(F.col("rank") <= F.col("_train"), "train")
         .when(F.col("rank") <= F.col("_train") + F.col("_val"), "val")

@@ -208,16 +208,16 @@ def tfidf(
     """Long form ``(key, term, term_id, tfidf)``, unit length per row of ``df``.
 
     idf = ln((1 + n) / (1 + df)) + 1. With ``sublinear`` a count c weighs 1 + ln c.
-    One shuffle by key, for the norm.
+    One shuffle by key, for the norm, while there is still one row per text.
     """
     n = df.count()
+    placed = df.select(key, terms).repartition(key)
     idf = vocab.select(
         "term", "term_id", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("_idf")
     )
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
-    weighted = lookup_join(exploded_terms(df, key, terms), idf, ["term"], "inner").withColumn(
-        "_weight", tf * F.col("_idf")
-    )
+    found = lookup_join(exploded_terms(placed, key, terms), idf, ["term"], "inner")
+    weighted = found.withColumn("_weight", tf * F.col("_idf"))
     norm = F.sqrt(F.sum(F.col("_weight") * F.col("_weight")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", "term_id", (F.col("_weight") / norm).alias("tfidf"))
 

@@ -34,7 +34,7 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select(
         "doc_id", (1 - F.col("quality")).cast("int").alias("is_bad")
     )
-    return spread(table(spark, folder, "documents").join(labels, "doc_id"), "doc_id")
+    return documents(spark, folder).join(labels, "doc_id")
 
 
 def with_gaps(spark: SparkSession, folder: str) -> DataFrame:

@@ -61,12 +61,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by ``keys`` only when the input has fewer files than cores.
+    """Repartition a scan by ``keys`` only when it is small for the cores at hand.
 
-    A large table has many files and is returned as it is, without a shuffle.
-    A single small file would otherwise run in a single task.
+    Spark cuts small inputs into about one split per core, which helps little when
+    a file holds one row group. A scan with more than two splits per core is large
+    and is returned as it is, without a shuffle.
     """
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= parallelism:
+    if df.rdd.getNumPartitions() > 2 * parallelism:
         return df
     return df.repartition(parallelism, *keys)
