@@ -121,3 +121,15 @@ def test_soft_scores(five, spark):
     loss = metrics.weighted_log_loss(five, "y", "score", weight=2.0).first()["log_loss"]
     expected = np.mean([-(2 * np.log(s) if y else np.log(1 - s)) for s, y in FIVE])
     assert loss == pytest.approx(expected, abs=1e-5)
+
+
+def test_areas_do_not_depend_on_the_number_of_buckets(many, monkeypatch):
+    from riskframe.operators import rank
+
+    _, df = many
+    one = metrics.binary_metrics(df.withColumn("p", F.rint("score").cast("int")), "y", "p", "score", ["g"])
+    expected = {r["g"]: r.asDict() for r in one.collect()}
+    monkeypatch.setattr(rank, "ROWS_PER_BUCKET", 20)
+    split = metrics.binary_metrics(df.withColumn("p", F.rint("score").cast("int")), "y", "p", "score", ["g"])
+    for r in split.collect():
+        assert r.asDict() == pytest.approx(expected[r["g"]])
