@@ -23,15 +23,16 @@ from riskframe.functions.wordlists import (
 )
 
 # Penn Treebank word separation, in its fixed order, on a text padded with spaces.
-# Sentence ends are expected to stand alone already (``text.pad_punctuation``).
+# Sentence ends are expected to stand alone already (``text.pad_punctuation``). Where a
+# rule looks back, a cheap look at the current letter comes first.
 TREEBANK_RULES = (
-    (r'(?<=[ (\[{<])"', " `` "),
+    (r'"(?<=[ (\[{<]")', " `` "),
     (r'"', " '' "),
     (r"([\]\[(){}<>;@#$%&?!])", " $1 "),
     (r"--", " -- "),
-    (r"(?<=[^'])' ", " ' "),
-    (r"(?<=[^' ])('[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T)(?= )", " $1"),
-    (r"(?i)(?<= )(can(?=not )|(gim|lem)(?=me )|(gon|wan)(?=na )|got(?=ta ))", "$1 "),
+    (r"'(?<=[^']') ", " ' "),
+    (r"(?=['nN])(?<=[^' ])('[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T)(?= )", " $1"),
+    (r"(?i)(?=[cglw])(?<= )(can(?=not )|(gim|lem)(?=me )|(gon|wan)(?=na )|got(?=ta ))", "$1 "),
 )
 
 
@@ -110,8 +111,13 @@ def longest_suffix(w: Column, suffixes: Sequence[str]) -> Column:
     return F.regexp_extract(w, f"({'|'.join(suffixes)})$", 1)
 
 
+def may_end_in(w: Column, suffixes: Sequence[str]) -> Column:
+    """A cheap test of the last two letters, ahead of the pattern of all suffixes."""
+    return F.substring(w, -2, 2).isin(*sorted({s[-2:] for s in suffixes}))
+
+
 def _mark(w: Column) -> Column:
-    return F.regexp_replace(F.lower(w), "^y", "Y")
+    return F.when(w.startswith("y"), F.concat(F.lit("Y"), F.substring(w, F.lit(2), F.length(w)))).otherwise(w)
 
 
 def _step_1a(w: Column) -> Column:
@@ -152,7 +158,8 @@ def _step_1b_repair(w: Column) -> Column:
 
 
 def _step_1c(w: Column) -> Column:
-    return F.regexp_replace(w, "^(.+[^aeiou])y$", "$1i")
+    changed = F.regexp_replace(w, "^(.+[^aeiou])y$", "$1i")
+    return F.when(w.endswith("y"), changed).otherwise(w)
 
 
 def _swap(table: Mapping[str, str], condition: str) -> Callable[[Column], Column]:
@@ -160,7 +167,7 @@ def _swap(table: Mapping[str, str], condition: str) -> Callable[[Column], Column
         suffix = longest_suffix(w, list(table))
         stem = cut(w, F.length(suffix))
         return F.when(
-            (suffix != "") & stem.rlike(condition),
+            may_end_in(w, list(table)) & (suffix != "") & stem.rlike(condition),
             F.concat(stem, F.element_at(literal_map(table), suffix)),
         ).otherwise(w)
 
@@ -183,7 +190,8 @@ def _step_4(w: Column) -> Column:
     suffix = longest_suffix(w, STEP_4)
     stem = cut(w, F.length(suffix))
     allowed = (suffix != "ion") | stem.rlike("[st]$")
-    return F.when((suffix != "") & stem.rlike(M_OVER_1) & allowed, stem).otherwise(w)
+    ends = may_end_in(w, STEP_4) & (suffix != "")
+    return F.when(ends & stem.rlike(M_OVER_1) & allowed, stem).otherwise(w)
 
 
 def _step_5a(w: Column) -> Column:
@@ -204,7 +212,7 @@ PORTER_STEPS: tuple[Callable[[Column], Column], ...] = (
 
 
 def stem_tokens(tokens: Column) -> Column:
-    """Porter stems of a token array; tokens of one or two letters stay.
+    """Porter stems of lower-cased tokens; tokens of one or two letters stay.
 
     Each step is one pass over the array, so that a step sees the finished result
     of the step before it. Tokens whose result is fixed from the start are wrapped
@@ -223,7 +231,7 @@ def stem_tokens(tokens: Column) -> Column:
         )
 
     def release(w: Column) -> Column:
-        return F.translate(w, MARK, "")
+        return F.replace(w, F.lit(MARK), F.lit(""))
 
     for step in (protect, *PORTER_STEPS, release):
         tokens = F.transform(tokens, step)
