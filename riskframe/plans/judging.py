@@ -199,7 +199,7 @@ rights AS (
   SELECT a.fold, a.k, min(b.fp) AS fp1, min(b.tp) AS tp1
   FROM places a JOIN points b ON a.fold = b.fold AND b.fp * 99 > a.k * a.n GROUP BY ALL),
 grid AS (
-  SELECT fold, k AS grid, k / 99::DOUBLE AS fpr, CASE WHEN k = 0 THEN 0.0 WHEN fp1 IS NULL THEN tp0 / p::DOUBLE
+  SELECT fold, k::INTEGER AS grid, k / 99::DOUBLE AS fpr, CASE WHEN k = 0 THEN 0.0 WHEN fp1 IS NULL THEN tp0 / p::DOUBLE
     ELSE (tp0 + (tp1 - tp0) * (k * n / 99::DOUBLE - fp0) / (fp1 - fp0)) / p END AS tpr
   FROM lefts LEFT JOIN rights USING (fold, k))"""
 SQL_MEAN = f"""{SQL_GRID},

@@ -229,7 +229,7 @@ def _(spark, folder):
     WITH r AS (
       SELECT o_orderkey, row_number() OVER (ORDER BY md5('28:' || o_orderkey::VARCHAR), o_orderkey) - 1 AS r,
         count(*) OVER () // 5 AS size FROM orders)
-    SELECT o_orderkey, r // size AS fold FROM r WHERE r < size * 5
+    SELECT o_orderkey, (r // size)::INTEGER AS fold FROM r WHERE r < size * 5
     """,
 )
 def _(spark, folder):
@@ -257,7 +257,8 @@ def _(spark, folder):
 @query(
     "shuffled_kfold",
     """
-    SELECT o_orderkey, ntile(5) OVER (ORDER BY md5('239:' || o_orderkey::VARCHAR), o_orderkey) - 1 AS fold FROM orders
+    SELECT o_orderkey, (ntile(5) OVER (ORDER BY md5('239:' || o_orderkey::VARCHAR), o_orderkey) - 1)::INTEGER AS fold
+    FROM orders
     """,
 )
 def _(spark, folder):

@@ -80,4 +80,4 @@ parts AS (
   FROM ranked JOIN quotas USING (is_bad))"""
 SQL_FOLDS = f"""{SQL_TARGETS},
 folds AS (
-  SELECT *, ntile(5) OVER (PARTITION BY is_bad ORDER BY doc_id) - 1 AS fold FROM targets)"""
+  SELECT *, (ntile(5) OVER (PARTITION BY is_bad ORDER BY doc_id) - 1)::INTEGER AS fold FROM targets)"""
