@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import bpe, urlfilter
+from riskframe.llm import bpe, quality_rules, toxicity, urlfilter
 from riskframe.plans.registry import Run
 
 QUERIES: dict[str, Run] = {}
@@ -27,6 +27,16 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_rules.judge(docs, quality_rules.learn(docs, table(spark, folder, "labels")))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
+
+
 # The rules of the url contract, and the labels of listed hosts.
 URL_RULES = (
     urlfilter.Rule("net", "/", "block"),
@@ -63,4 +73,9 @@ SELECT page_id, host, path, rule, CASE
   WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
 FROM ruled"""
 
-QUERIES |= {"op1_bpe": op1_bpe, "op9_url_cascade": op9_url_cascade}
+QUERIES |= {
+    "op1_bpe": op1_bpe,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_toxicity": op6_toxicity,
+    "op9_url_cascade": op9_url_cascade,
+}
