@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import bpe, quality_rules, toxicity, urlfilter
+from riskframe.llm import bpe, quality_crf, quality_rules, toxicity, urlfilter
+from riskframe.llm.common import id_remainder
 from riskframe.plans.registry import Run
 
 QUERIES: dict[str, Run] = {}
@@ -27,6 +28,13 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held = id_remainder("doc_id", 5) == 0
+    model = quality_crf.learn(docs, table(spark, folder, "labels"), ~held)
+    return quality_crf.score(docs, model).withColumn("held_out", held)
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality_rules.judge(docs, quality_rules.learn(docs, table(spark, folder, "labels")))
@@ -75,6 +83,7 @@ FROM ruled"""
 
 QUERIES |= {
     "op1_bpe": op1_bpe,
+    "op3_quality_crf": op3_quality_crf,
     "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op9_url_cascade": op9_url_cascade,
