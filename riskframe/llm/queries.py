@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import bpe, quality_crf, quality_rules, toxicity, urlfilter
+from riskframe.llm import bpe, langid, quality_crf, quality_rules, toxicity, urlfilter
 from riskframe.llm.common import id_remainder
 from riskframe.plans.registry import Run
 
@@ -45,6 +45,12 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
 
 
+def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held = id_remainder("doc_id", 3) == 1
+    return langid.predict(docs, langid.learn(docs, ~held)).withColumn("held_out", held)
+
+
 # The rules of the url contract, and the labels of listed hosts.
 URL_RULES = (
     urlfilter.Rule("net", "/", "block"),
@@ -86,5 +92,6 @@ QUERIES |= {
     "op3_quality_crf": op3_quality_crf,
     "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
+    "op7_langid": op7_langid,
     "op9_url_cascade": op9_url_cascade,
 }
