@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words as the contracts define them; ``bytes.split()`` cuts at the same six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,16 +49,15 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(a, b - a)
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text"
 ) -> DataFrame:
     """Apply ``function`` to slices of Arrow batches; it returns columns in the order of ``schema``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    kinds = _parse_datatype_string(schema)
-    assert isinstance(kinds, StructType)
-    target = to_arrow_schema(kinds)
+    target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -108,8 +109,8 @@ class Sparse:
     """A bounded sample as sparse rows, for the fits."""
 
     def __init__(self, columns: list[np.ndarray], values: list[np.ndarray], width: int):
-        self.lengths = np.array([len(c) for c in columns], np.int64)
-        self.rows = np.repeat(np.arange(len(columns)), self.lengths)
+        lengths = np.array([len(c) for c in columns], np.int64)
+        self.rows = np.repeat(np.arange(len(columns), dtype=np.int32), lengths)
         self.columns = np.concatenate([*columns, np.zeros(0, np.int32)]).astype(np.int32)
         self.values = np.concatenate([*values, np.zeros(0, np.float32)]).astype(np.float32)
         self.shape = (len(columns), width)

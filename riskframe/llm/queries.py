@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import bpe, langid, quality_crf, quality_rules, toxicity, urlfilter
+from riskframe.llm import bpe, fingerprint, langid, quality_crf, quality_rules, toxicity, urlfilter
 from riskframe.llm.common import id_remainder
 from riskframe.plans.registry import Run
 
@@ -51,6 +51,10 @@ def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs, ~held)).withColumn("held_out", held)
 
 
+def op8_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.neighbour_report(table(spark, folder, "documents"))
+
+
 # The rules of the url contract, and the labels of listed hosts.
 URL_RULES = (
     urlfilter.Rule("net", "/", "block"),
@@ -93,5 +97,6 @@ QUERIES |= {
     "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_langid": op7_langid,
+    "op8_fingerprint": op8_fingerprint,
     "op9_url_cascade": op9_url_cascade,
 }
