@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import bpe, fingerprint, langid, quality_crf, quality_rules, toxicity, urlfilter
+from riskframe.llm import bpe, fingerprint, langid, packing, quality_crf, quality_rules, toxicity, urlfilter
 from riskframe.llm.common import id_remainder
 from riskframe.plans.registry import Run
 
@@ -28,6 +28,14 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.pack(packing.tokenise(table(spark, folder, "documents"), path))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op3_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held = id_remainder("doc_id", 5) == 0
@@ -93,6 +101,7 @@ FROM ruled"""
 
 QUERIES |= {
     "op1_bpe": op1_bpe,
+    "op2_packing": op2_packing,
     "op3_quality_crf": op3_quality_crf,
     "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
