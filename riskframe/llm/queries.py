@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import bpe, fingerprint, langid, packing, quality_crf, quality_rules, toxicity, urlfilter
+from riskframe.llm import bpe, fingerprint, langid, lm, packing, quality_crf, quality_rules, toxicity, urlfilter
 from riskframe.llm.common import id_remainder
 from riskframe.plans.registry import Run
 
@@ -78,6 +78,13 @@ def op9_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judge(table(spark, folder, "pages"), URL_RULES, listed)
 
 
+def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    remainder = id_remainder("doc_id", 7)
+    model, counts = lm.learn(docs, (remainder != 2) & F.col("doc_id").isNotNull())
+    return lm.score(docs, model, counts).withColumn("held_out", remainder == 2)
+
+
 _LISTED = ", ".join(f"'{x}'" for x in LISTED_LABELS)
 ORACLES["op9_url_cascade"] = f"""
 WITH split AS (
@@ -108,4 +115,5 @@ QUERIES |= {
     "op7_langid": op7_langid,
     "op8_fingerprint": op8_fingerprint,
     "op9_url_cascade": op9_url_cascade,
+    "op10_lm": op10_lm,
 }
