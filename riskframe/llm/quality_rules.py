@@ -27,7 +27,7 @@ from riskframe.llm.common import Sparse, as_bytes, labelled_sample, map_batches,
 
 FIT_ROWS = 4000
 BUCKETS = 1 << 16
-GRAMS = (3, 5)
+GRAMS = (2, 3)
 CALIBRATION = 5
 #: Kept from this calibrated probability of good quality upwards.
 KEEP_FROM = 0.3
