@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import bpe, fingerprint, langid, lm, packing, quality_crf, quality_rules, toxicity, urlfilter
+from riskframe.llm import bpe, fingerprint, langid, lm, minhash, packing, quality_crf, quality_rules, toxicity, urlfilter
 from riskframe.llm.common import id_remainder
 from riskframe.plans.registry import Run
 
@@ -48,6 +48,10 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.learn(docs, table(spark, folder, "labels")))
 
 
+def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels")))
@@ -111,6 +115,7 @@ QUERIES |= {
     "op2_packing": op2_packing,
     "op3_quality_crf": op3_quality_crf,
     "op4_quality_rules": op4_quality_rules,
+    "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
     "op7_langid": op7_langid,
     "op8_fingerprint": op8_fingerprint,
