@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import ASCII_LOWER, arrow_schema, as_bytes, map_batches
+from riskframe.llm.common import ASCII_LOWER, WORD, arrow_schema, as_bytes, map_batches
 from riskframe.session import checkpointed, scratch_path
 
 WORDS = 5
@@ -321,7 +321,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, n_shingles, component_id, kept)`` of every row of ``docs``."""
+    """``(key, n_shingles, component_id, kept, text_hash)`` of every row of ``docs``."""
     described = written(describe_sets(docs, key).withColumn("row", F.monotonically_increasing_id()), "described")
     sets = distinct_sets(described)
     edges = checkpointed(confirmed(docs, sets, written(star_pairs(sets), "pairs"), key))
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         "digest", F.col("least.key").alias("component"), (F.col("set") == F.col("least.set")).alias("first")
     )
     # One row stands for each component: of the first set's rows with the component's id, the first one.
-    rows = described.select("row", "key", "n", "digest")
+    rows = described.select("row", "key", "n", "digest", "text_hash")
     marks = (
         rows.where("n > 0")
         .groupBy("digest")
@@ -353,4 +353,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.when(empty, F.col("key")).otherwise(F.col("component")).alias("component_id"),
         (empty | F.coalesce(F.col("row") == F.col("mark"), F.lit(False))).alias("kept"),
+        "text_hash",
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with their own columns, that stand for their components.
+
+    Rows without words are all kept. Of rows that repeat id and text one is kept.
+    """
+    kept = near_duplicates(docs, key).where("kept and n_shingles > 0")
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    marked = docs.withColumn("_kept_by_hash", F.xxhash64("text"))
+    picked = kept.select(F.col(key).alias("_kept_id"), "text_hash").alias("kept")
+    same = F.col(f"docs.`{key}`").eqNullSafe(F.col("kept._kept_id")) & (F.col("_kept_by_hash") == F.col("kept.text_hash"))
+    one = (
+        marked.where(~wordless)
+        .alias("docs")
+        .join(picked, same, "left_semi")
+        .dropDuplicates([key, "_kept_by_hash"])
+        .drop("_kept_by_hash")
+    )
+    return docs.where(wordless).unionByName(one)

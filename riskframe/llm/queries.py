@@ -49,7 +49,10 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, folder, "documents"))
+    found = minhash.near_duplicates(table(spark, folder, "documents"))
+    # The contract's ``kept`` compares ids; the operator's also picks one of rows that share an id.
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
