@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from riskframe.llm.common import arrow_schema, map_batches
+from riskframe.llm.common import ASCII_LOWER, arrow_schema, map_batches
 from riskframe.operators.rank import running_totals
 from riskframe.session import checkpointed, scratch_path
 
@@ -41,10 +41,11 @@ WINDOW = 2048
 END_ID = 1
 MEMORY_CHARS, MEMORY_WORDS = 40, 300_000
 JOINED_WORDS = 2000
-#: Words whose ids can be told apart in a joined text: letters that neither case nor normal form
-#: changes beyond themselves, and at most one mark after them.
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!?|]?")
+#: Words that are one pre-token: letters that neither case nor normal form changes beyond themselves.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MARKS = ".,!?|"
+#: Marks that compose with letters; elsewhere A-Z may be lower-cased before the tokenizer does.
+COMBINING = re.compile("[" + chr(0x300) + "-" + chr(0x36F) + "]")
 
 
 # --- ids ---------------------------------------------------------------------------------------
@@ -62,39 +63,57 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = np.array([end_id], self.kind).tobytes()
-        self.memory: dict[str, bytes] = {"": b""}
+        # Two generations: what is used again moves to the young one, so frequent words stay.
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.marks = {m: self.ids(m) for m in MARKS}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of plain words, encoded together and cut at their last ids."""
+    def plain_ids(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of plain words, encoded together and cut at the ids that end a word."""
         for i in range(0, len(words), JOINED_WORDS):
             part = words[i : i + JOINED_WORDS]
             joined = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
             ids = np.array(joined, self.kind)
-            # A word closes with its own last id, or with that of the mark after it.
-            closing = np.cumsum([1 + (w[-1] in MARKS) for w in part])
-            stops = np.flatnonzero(self.ends[ids])[closing - 1] + 1
-            raw, size, a = ids.tobytes(), ids.itemsize, 0
-            for word, b in zip(part, stops.tolist(), strict=True):
-                self.memory[word] = raw[a * size : b * size]
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            raw, a = ids.tobytes(), 0
+            for b in stops:
+                yield raw[a:b]
                 a = b
 
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Take ``words`` into the young memory; the ids of very long ones are returned instead."""
+        old, young = self.old, self.young
+        young.update({w: old[w] for w in words if w in old})
+        words = words.difference(young)
+        # A word with one mark behind it is the word and the mark.
+        marked = {w for w in words if w[-1] in MARKS and PLAIN.fullmatch(w[:-1])}
+        stems = {w[:-1] for w in marked}
+        fresh = words.difference(marked).union(stems.difference(young))
+        plain = [w for w in fresh if PLAIN.fullmatch(w)]
+        young.update(zip(plain, self.plain_ids(plain), strict=True))
+        young.update({w: young[w[:-1]] + self.marks[w[-1]] for w in marked})
+        rest = {w: self.ids(w) for w in fresh.difference(plain)}
+        young.update({w: x for w, x in rest.items() if len(w) <= MEMORY_CHARS})
+        return {w: x for w, x in rest.items() if len(w) > MEMORY_CHARS}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids with the end mark, as unsigned integers of ``kind``."""
-        if len(self.memory) > MEMORY_WORDS:
-            self.memory = {"": b""}
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*split).difference(self.memory)
-        plain = [w for w in fresh if len(w) <= MEMORY_CHARS and PLAIN.fullmatch(w)]
-        self.learn(plain)
-        memory = self.memory
-        rest = {w: self.ids(w) for w in fresh.difference(plain)}
-        out = []
-        for words in split:
-            out.append(b"".join([memory[w] if w in memory else rest[w] for w in words]) + self.end)
-        return out
+        if len(self.young) > MEMORY_WORDS:
+            self.old, self.young = self.young, {"": b""}
+        split = []
+        for text in texts:
+            text = (text or "").replace("\n", " ")
+            if not COMBINING.search(text):
+                text = text.encode().translate(ASCII_LOWER).decode()
+            split.append(text.split(" "))
+        long = self.learn(set().union(*split).difference(self.young))
+        young, end = self.young, self.end
+        if long:
+            return [b"".join([young[w] if w in young else long[w] for w in words]) + end for words in split]
+        return [b"".join(map(young.__getitem__, words)) + end for words in split]
 
 
 @functools.lru_cache(maxsize=2)
