@@ -38,7 +38,14 @@ def main() -> None:
     queries = all_queries()
     names = list(queries) if wanted == "all" else [n for n in wanted.split(",") if n] or HEADLINE
     spark = build_session(
-        "bench", cpus, **{"spark.sql.shuffle.partitions": str(cpus), "spark.driver.memory": "12g"}
+        "bench",
+        cpus,
+        **{
+            "spark.sql.shuffle.partitions": str(cpus),
+            "spark.driver.memory": "12g",
+            # The small tables come in one file each, which would leave all cores but one idle.
+            "riskframe.input.partitions": str(cpus),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     # Warm-up: class loading and the first Parquet footers.

@@ -15,10 +15,11 @@ from riskframe.functions.wordlists import STOP_WORDS
 
 MISSING_TEXT = "m"
 UPPER_WORD = r"^[^\p{IsLowercase}\p{Lt}]*\p{IsUppercase}[^\p{IsLowercase}\p{Lt}]*$"
-TITLE_WORD = (
-    r"^[^\p{IsUppercase}\p{IsLowercase}\p{Lt}]*"
-    r"([\p{IsUppercase}\p{Lt}]\p{IsLowercase}*([^\p{IsUppercase}\p{IsLowercase}\p{Lt}]+|$))+$"
-)
+# A title word has a cased letter, no lower-case letter without a cased one before it, and no
+# upper-case or title letter after a cased one. Flat patterns: a repeated group would recurse once
+# for every letter of a long word.
+CASED = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]"
+NOT_TITLE = rf"(?<!{CASED})\p{{IsLowercase}}|(?<={CASED})[\p{{IsUppercase}}\p{{Lt}}]"
 
 
 def word_count(w: Column) -> Column:
@@ -44,7 +45,7 @@ def upper_word_count(w: Column) -> Column:
 
 
 def title_word_count(w: Column) -> Column:
-    return F.size(F.filter(w, lambda x: x.rlike(TITLE_WORD))).cast("long")
+    return F.size(F.filter(w, lambda x: x.rlike(CASED) & ~x.rlike(NOT_TITLE))).cast("long")
 
 
 def stopword_count(w: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:

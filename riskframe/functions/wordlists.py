@@ -34,7 +34,6 @@ VERIFICATION_CODES = {
     "OTHER": 3, "": 0,
 }
 HOME_OWNERSHIP_CODES = {"NONE": 0, "OWN": 1, "MORTGAGE": 2, "RENT": 3, "OTHER": 4}
-GENDER_CODES = {"F": 1, "M": 2, "OTHER": 3, "": 0}
 
 # Part-of-speech classes as groups of Penn Treebank tags.
 TAG_CLASSES = {

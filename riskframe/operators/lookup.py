@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskframe.session import checkpointed
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 1e-3
 SALTS = 64
+# Items the frequency sketch follows. It misjudges a count by at most 3.5 / TRACKED of the rows,
+# well below half of HOT_SHARE, so every key above HOT_SHARE is found.
+TRACKED = 1 << 15
 
 
 def measured_bytes(table: DataFrame) -> int:
@@ -42,11 +45,13 @@ def lookup_join(
 
     # A hash of the key is enough here: two keys with one hash are both salted.
     key_hash = F.xxhash64(*on)
-    # The hot keys are among the 1/HOT_SHARE most frequent; one pass finds these and the total.
-    seen = Observation()
-    per_key = df.groupBy(key_hash.alias("_hash")).count().observe(seen, F.sum("count").alias("rows"))
-    most = per_key.orderBy(F.desc("count")).limit(int(1 / HOT_SHARE)).collect()
-    hot = [r["_hash"] for r in most if r["count"] > (seen.get["rows"] or 0) * HOT_SHARE]
+    # One aggregate of mergeable sketches finds the hot keys and the total. Twice as many keys as can
+    # be hot are asked for, and half the share is enough: salting a key too many does no harm.
+    found = df.agg(
+        F.call_function("approx_top_k", key_hash, F.lit(int(2 / HOT_SHARE)), F.lit(TRACKED)).alias("most"),
+        F.count("*").alias("rows"),
+    ).first()
+    hot = [r["item"] for r in found["most"] or [] if r["count"] > found["rows"] * HOT_SHARE / 2]
     if not hot:
         return df.join(table, on, how)
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskframe.operators.rank import RANGE_BUCKETS, add_range_buckets, running_totals
+from riskframe.operators.rank import add_range_buckets, running_totals
 from riskframe.session import checkpointed
 
 
@@ -40,7 +40,7 @@ def curve_counts(
     label: str,
     score: str,
     by: Sequence[str] = (),
-    buckets: int = RANGE_BUCKETS,
+    buckets: int | None = None,
     **sums: Column,
 ) -> DataFrame:
     """Score counts with ``tp`` and ``fp`` at the threshold ``score``, ``pos_all``, ``neg_all``."""

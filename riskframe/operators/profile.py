@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.operators.rank import RANGE_BUCKETS, add_range_buckets, running_totals
+from riskframe.operators.rank import add_range_buckets, running_totals
 
 
 def schema_by_type(df: DataFrame) -> DataFrame:
@@ -17,8 +17,15 @@ def schema_by_type(df: DataFrame) -> DataFrame:
     return listed.groupBy("dtype").agg(F.array_sort(F.collect_list("name")).alias("columns"))
 
 
+def without_nan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with NaN as null in those of ``columns`` that are floating point numbers."""
+    floats = {f.name for f in df.schema if f.dataType.typeName() in ("float", "double")}
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in columns if c in floats})
+
+
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, nulls)`` from one aggregate over all columns."""
+    """``(column, nulls)`` from one aggregate over all columns; NaN counts as missing."""
+    df = without_nan(df, columns)
     counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     return counted.unpivot([], list(columns), "column", "nulls")
 
@@ -51,7 +58,7 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     shares: Sequence[float] = (0.25, 0.5, 0.75),
-    buckets: int = RANGE_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``(column, q1, q2, ...)``: exact quantiles with linear interpolation.
 
@@ -103,8 +110,23 @@ def exact_quantiles(
     return ranked.groupBy("column").agg(*picks).select("column", *between)
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, count, mean, std, min, q1, q2, q3, max)``; std has n - 1 below."""
+def sketched_quantiles(
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.25, 0.5, 0.75), accuracy: int = 10_000
+) -> DataFrame:
+    """``(column, q1, q2, ...)``: quantiles whose rank is off by at most 1 / ``accuracy`` of the rows."""
+    wanted = F.array(*[F.lit(float(s)) for s in shares])
+    picks = [F.percentile_approx(F.col(c).cast("double"), wanted, accuracy).alias(c) for c in columns]
+    long = df.agg(*picks).unpivot([], list(columns), "column", "q")
+    return long.select("column", *[F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(len(shares))])
+
+
+def describe_numeric(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
+    """``(column, count, mean, std, min, q1, q2, q3, max)``; std has n - 1 below.
+
+    NaN counts as missing. With ``approximate`` the quartiles come from a sketch, without a
+    shuffle of the values.
+    """
+    df = without_nan(df, columns)
     stats = {
         "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
     }
@@ -118,7 +140,8 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ]
     )
     moments = row.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("_r")).select("_r.*")
-    return moments.join(exact_quantiles(df, columns), "column", "left")
+    quantiles = sketched_quantiles(df, columns) if approximate else exact_quantiles(df, columns)
+    return moments.join(quantiles, "column", "left")
 
 
 def profile(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:

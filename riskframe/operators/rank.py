@@ -16,8 +16,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HASH_DIGITS = 3
-RANGE_BUCKETS = 1024
-ROWS_PER_BUCKET = 10_000
+# Buckets follow the rows, without an upper limit; a sketch needs a multiple of them as accuracy.
+ROWS_PER_BUCKET = 20_000
+# Text keys: so many keys, the first by a hash, are drawn for every bucket to find its cut.
+DRAWN_PER_BUCKET = 20
 
 
 def hash_key(key: str | Column, seed: int) -> Column:
@@ -31,31 +33,58 @@ def hash_bucket(digest: Column, digits: int = HASH_DIGITS) -> Column:
     return F.substring(digest, 1, digits)
 
 
+def wanted_buckets(df: DataFrame) -> int:
+    """One bucket for every ``ROWS_PER_BUCKET`` rows."""
+    return max(1, df.count() // ROWS_PER_BUCKET)
+
+
 def range_cuts(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[float]]:
     """Ascending cut points per column, from one pass of mergeable sketches.
 
-    The cuts only balance the buckets; any cuts give the same totals. A table with
-    few rows gets fewer of them, one for every ``ROWS_PER_BUCKET`` rows.
+    The cuts only balance the buckets; any cuts give the same totals.
     """
-    shares = ", ".join(f"{i / buckets}d" for i in range(1, buckets))
+    if buckets < 2:
+        return [[] for _ in columns]
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    accuracy = max(10_000, 10 * buckets)
     row = df.agg(
-        F.count("*").alias("rows"),
         *[
-            F.expr(f"percentile_approx(cast(`{c}` as double), array({shares}))").alias(str(i))
+            F.percentile_approx(F.col(c).cast("double"), shares, accuracy).alias(str(i))
             for i, c in enumerate(columns)
         ],
     ).first()
-    wanted = max(1, min(buckets, row["rows"] // ROWS_PER_BUCKET))
-    step = buckets // wanted
-    cuts = [(row[str(i)] or [])[step - 1 :: step][: wanted - 1] for i in range(len(columns))]
-    return [sorted({v for v in c if v == v}) for c in cuts]
+    return [sorted({v for v in row[str(i)] or [] if v == v}) for i in range(len(columns))]
+
+
+def text_cuts(df: DataFrame, column: str, buckets: int) -> list[str]:
+    """Ascending cut points of a text column, from keys drawn by their hash."""
+    if buckets < 2:
+        return []
+    digest = F.xxhash64(column)
+    keys = df.select(column).where(F.col(column).isNotNull())
+    drawn = keys.orderBy(digest).limit(DRAWN_PER_BUCKET * buckets).collect()
+    # Spark compares texts by their bytes.
+    ordered = sorted((r[0] for r in drawn), key=str.encode)
+    return sorted(set(ordered[DRAWN_PER_BUCKET::DRAWN_PER_BUCKET]), key=str.encode)
+
+
+def bucket_of(value: Column, cuts: Sequence[str]) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``, by nested halving; 0 for null."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value >= cuts[middle], search(middle + 1, high)).otherwise(search(low, middle))
+
+    return search(0, len(cuts))
 
 
 def add_range_buckets(
-    df: DataFrame, columns: Sequence[str], names: Sequence[str], buckets: int = RANGE_BUCKETS
+    df: DataFrame, columns: Sequence[str], names: Sequence[str], buckets: int | None = None
 ) -> DataFrame:
     """Add an int bucket per column that grows with the column's value."""
-    cuts = range_cuts(df, columns, buckets)
+    cuts = range_cuts(df, columns, buckets or wanted_buckets(df))
     if not any(cuts):
         return df.withColumns({n: F.lit(0) for n in names})
     inf = float("inf")
@@ -144,18 +173,22 @@ def hash_rank(
 ) -> DataFrame:
     """Add ``rank`` (from 1) in seeded pseudo-random order, and ``rank_all`` (group size)."""
     digest = hash_key(key, seed)
-    bucketed = df.withColumn("_bucket", hash_bucket(digest))
+    # 16 ** digits buckets, as many as the rows ask for.
+    digits = max(HASH_DIGITS, len(f"{wanted_buckets(df):x}"))
+    bucketed = df.withColumn("_bucket", hash_bucket(digest, digits))
     one = F.lit(1).cast("long")
     return running_totals(
         bucketed, {"rank": one}, "_bucket", [digest, F.col(key)], by, attach=attach
     )
 
 
-def key_rank(
-    df: DataFrame, key: str, by: Sequence[str] = (), buckets: int = RANGE_BUCKETS
-) -> DataFrame:
-    """Add ``rank`` (from 1) in key order, and ``rank_all`` (group size)."""
-    bucketed = add_range_buckets(df, [key], ["_bucket"], buckets)
+def key_rank(df: DataFrame, key: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Add ``rank`` (from 1) in key order, and ``rank_all`` (group size); numbers and texts."""
+    if dict(df.dtypes)[key] == "string":
+        cuts = text_cuts(df, key, buckets or wanted_buckets(df))
+        bucketed = df.withColumn("_bucket", bucket_of(F.col(key), cuts))
+    else:
+        bucketed = add_range_buckets(df, [key], ["_bucket"], buckets)
     return running_totals(
         bucketed, {"rank": F.lit(1).cast("long")}, "_bucket", [F.col(key)], by
     )

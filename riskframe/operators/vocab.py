@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from riskframe.functions.text import SPACE, strip_accents
 from riskframe.functions.wordlists import STOP_WORDS
 from riskframe.operators.lookup import lookup_join
-from riskframe.operators.rank import add_range_buckets, running_totals
+from riskframe.operators.rank import add_range_buckets, bucket_of, key_rank, running_totals, text_cuts, wanted_buckets
 from riskframe.session import checkpointed
 
 TERM_PATTERN = r"([\p{L}\p{N}_]+)"
@@ -145,7 +145,7 @@ def vocabulary(
 
 
 def word_index(
-    df: DataFrame, tokens: str, min_count: int = 5, buckets: int = 1024
+    df: DataFrame, tokens: str, min_count: int = 5, buckets: int | None = None
 ) -> tuple[DataFrame, int]:
     """``(term, tf, word_id)`` for all terms, ids from 1 by falling count, and the size.
 
@@ -153,8 +153,9 @@ def word_index(
     under this order are exactly the ids up to it.
     """
     stats = checkpointed(term_stats(df, tokens).select("term", "tf"))
-    # Most terms share a few small counts; these are cut further by how the term begins.
+    # Most terms share a few small counts; these are cut further by cuts drawn from the terms.
     rare = F.col("tf") <= 16
+    cuts = text_cuts(stats.where(rare), "term", buckets or wanted_buckets(stats))
     spread = add_range_buckets(
         stats.withColumn("_minus", -F.col("tf")), ["_minus"], ["_coarse"], buckets
     ).withColumn(
@@ -162,7 +163,7 @@ def word_index(
         F.struct(
             "_coarse",
             F.when(rare, F.col("_minus")).alias("count"),
-            F.when(rare, F.substring("term", 1, 2)).alias("start"),
+            F.when(rare, bucket_of(F.col("term"), cuts)).alias("start"),
         ),
     )
     ranked = running_totals(
@@ -230,11 +231,8 @@ def char_terms(c: Column) -> Column:
 def dict_vectorize(df: DataFrame, key: str, record: str) -> DataFrame:
     """Long form ``(key, feature_id, value)`` of a map column; ids from 0 in name order."""
     cells = df.select(key, F.explode(record).alias("_name", "value"))
-    by_name = Window.partitionBy().orderBy("_name")
-    # One row per feature name, of which a model has a bounded number.
-    names = cells.select("_name").distinct().withColumn(
-        "feature_id", (F.row_number().over(by_name) - 1).cast("long")
-    )
+    distinct = checkpointed(cells.select("_name").distinct())
+    names = key_rank(distinct, "_name").select("_name", (F.col("rank") - 1).alias("feature_id"))
     return lookup_join(cells, names, ["_name"], "inner", spread_by=[key, "_name"]).select(
         key, "feature_id", "value"
     )

@@ -174,7 +174,8 @@ def _(spark, folder):
       SELECT doc_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS place
       FROM occurrences JOIN known USING (term)),
     pooled AS (SELECT doc_id, place, max(v) AS hi, avg(v) AS mean FROM cells GROUP BY doc_id, place)
-    SELECT doc_id, round(sum(hi), 4) AS max_total, round(sum(mean), 4) AS mean_total FROM pooled GROUP BY doc_id
+    SELECT d.doc_id, round(sum(hi), 4) AS max_total, round(sum(mean), 4) AS mean_total
+    FROM documents d LEFT JOIN pooled USING (doc_id) GROUP BY d.doc_id
     """,
 )
 def _(spark, folder):
@@ -244,11 +245,19 @@ def _(spark, folder):
     return tables[0].unionByName(tables[1])
 
 
+BODY_DIMENSIONS, SUBJECT_MIN_DF = 50, 50
+
+
+def text_vectors(spark, folder):
+    """tf-idf vectors of all documents; zeros where a document has no known word."""
+    _, known = tfidf_words(spark, folder)
+    return checkpointed(topics.tfidf_vectors(bow_frame(spark, folder), "doc_id", "terms", known))
+
+
 @query("tfidf_svd")
 def _(spark, folder):
-    rows, known = weight_rows(spark, folder)
-    V = topics.fit_svd(rows, known.count(), 50)
-    return topics.project(rows, "doc_id", V)
+    rows = text_vectors(spark, folder)
+    return topics.project(rows, "doc_id", "vector", topics.fit_svd(rows, "vector", BODY_DIMENSIONS))
 
 
 # --- Other feature blocks -------------------------------------------------------------------
@@ -257,12 +266,12 @@ def _(spark, folder):
 @query("weighted_union")
 def _(spark, folder):
     # Subject: tf-idf of the source name. Body: tf-idf in few dimensions. Statistics of the text.
-    rows, known = weight_rows(spark, folder)
-    V = topics.fit_svd(rows, known.count(), 20)
-    body = topics.project(rows, "doc_id", V).select("doc_id", array_to_vector("projection").alias("body"))
+    rows = text_vectors(spark, folder)
+    V = topics.fit_svd(rows, "vector", BODY_DIMENSIONS)
+    body = topics.project(rows, "doc_id", "vector", V).select("doc_id", array_to_vector("projection").alias("body"))
     subject_terms = documents(spark, folder).select("doc_id", vocab.bow_tokens(F.col("source")).alias("terms"))
-    subject_known = checkpointed(vocab.vocabulary(subject_terms, "terms", min_df=5))
-    subject = vocab.bow_vectorizer(subject_known, "terms", "subject").transform(subject_terms)
+    subject_known = checkpointed(vocab.vocabulary(subject_terms, "terms", min_df=SUBJECT_MIN_DF))
+    subject = topics.tfidf_vectors(subject_terms, "doc_id", "terms", subject_known, "subject")
     counted = stats.mark_counts(table(spark, folder, "documents").select("doc_id", "text"), "text").drop("text")
     numbers = ["num_words", "num_commas", "num_bangs", "num_quotes", "avg_word"]
     filled = prep.MeanImputer.fit(counted, numbers).transform(counted)

@@ -8,16 +8,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# A caller whose files are too few for its cores says here into how many parts texts are dealt.
+PARTS = "riskframe.input.partitions"
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as it is scanned, unless the session asks for a number of parts."""
+    parts = df.sparkSession.conf.get(PARTS, None)
+    return df.repartition(int(parts), key) if parts else df
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The texts, spread over the cores where they come in fewer files."""
-    return spread(table(spark, folder, "documents"), "doc_id")
+    return dealt(table(spark, folder, "documents"), "doc_id")
 
 
 def targets(spark: SparkSession, folder: str) -> DataFrame:

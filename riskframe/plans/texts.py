@@ -8,8 +8,8 @@ from riskframe.functions import stats, text, tokens
 from riskframe.functions.wordlists import CLOSED_CLASS_TAGS, STOP_WORDS, SUFFIX_TAGS, TAG_CLASSES
 from riskframe.operators import lexicon, splits, vocab
 from riskframe.plans.registry import query
-from riskframe.plans.tables import SQL_PARTS, documents, table, targets
-from riskframe.session import checkpointed, spread
+from riskframe.plans.tables import SQL_PARTS, dealt, documents, table, targets
+from riskframe.session import checkpointed
 
 # --- SQL building blocks ----------------------------------------------------------
 
@@ -174,7 +174,7 @@ def _(spark, folder):
     "SELECT page_id, replace(replace(html, '<br>', ' '), '<br/>', ' ') AS html FROM pages",
 )
 def _(spark, folder):
-    pages = spread(table(spark, folder, "pages"), "page_id")
+    pages = dealt(table(spark, folder, "pages"), "page_id")
     return pages.select("page_id", text.strip_br(F.col("html")).alias("html"))
 
 

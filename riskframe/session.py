@@ -58,16 +58,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and cut from its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a scan by ``keys`` only when it is small for the cores at hand.
-
-    Spark cuts small inputs into about one split per core, which helps little when
-    a file holds one row group. A scan with more than two splits per core is large
-    and is returned as it is, without a shuffle.
-    """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > 2 * parallelism:
-        return df
-    return df.repartition(parallelism, *keys)

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from riskframe.operators import classify, prep, splits, topics
+from riskframe.operators import classify, lookup, prep, splits, topics, vocab
 
 
 @pytest.fixture(scope="module")
@@ -122,18 +122,47 @@ def test_factorisation_finds_the_blocks(blocks, loss):
     assert sorted(np.round(share)) == [0, 1]
 
 
-def test_svd_equals_numpy(blocks):
-    X, rows = blocks
-    V = topics.fit_svd(rows, 8, 3)
+def test_svd_equals_numpy(spark, blocks):
+    X, _ = blocks
+    X = np.vstack([X, np.zeros(8)])
+    vectors = []
+    for i, x in enumerate(X):
+        at = [int(j) for j in x.nonzero()[0]]
+        vectors.append((i, Vectors.dense(x) if i % 2 else Vectors.sparse(8, at, x[at])))
+    rows = spark.createDataFrame(vectors, ["id", "v"])
+    V = topics.fit_svd(rows, "v", 3)
     expected = np.linalg.svd(X)[2][:3].T
     assert np.allclose(np.abs(V), np.abs(expected), atol=1e-6)
-    found = topics.project(rows, "id", V).orderBy("id").toPandas()
+    found = topics.project(rows, "id", "v", V).orderBy("id").toPandas()
     assert np.allclose(np.array(found["projection"].tolist()), X @ V)
 
 
+def test_tfidf_vectors_keep_every_row(spark):
+    rows = [(0, ["a", "b", "a"]), (1, []), (2, ["z"]), (3, ["b", "b"]), (4, None)]
+    df = spark.createDataFrame(rows, "id long, terms array<string>").fillna({})
+    df = df.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    known = vocab.vocabulary(df, "terms").where("term != 'z'")
+    found = {r.id: r.vector.toArray().tolist() for r in topics.tfidf_vectors(df, "id", "terms", known).collect()}
+    weights = {(r.id, r.term_id): r.tfidf for r in vocab.tfidf(df, "id", "terms", known).collect()}
+    assert sorted(found) == [0, 1, 2, 3, 4]
+    for key, row in found.items():
+        assert np.allclose(row, [weights.get((key, j), 0.0) for j in range(2)])
+
+
 def test_top_terms(spark, blocks):
     vocabulary = spark.createDataFrame([(i, f"t{i}") for i in range(3)], "term_id long, term string")
     H = np.array([[0.1, 0.9, 0.5], [3.0, 1.0, 2.0]])
     best = topics.top_terms(topics.nmf_topic_terms(vocabulary, H), vocabulary, 2)
     found = {(r["topic"], r["place"]): r["term"] for r in best.collect()}
     assert found == {(0, 1): "t1", (0, 2): "t2", (1, 1): "t0", (1, 2): "t2"}
+
+
+def test_scoring_works_before_and_after_a_salted_lookup(spark, table):
+    rows = prep.fit_features(table, ["a", "b"]).transform(table)
+    before = classify.fit_logistic(rows, "y")
+    df = spark.range(1000).select("id", F.when(F.col("id") < 600, 0).otherwise(F.col("id")).alias("k"))
+    names = spark.range(1000).toDF("k").withColumn("v", F.lit(1))
+    assert lookup.lookup_join(df, names, ["k"], max_bytes=0).count() == 1000
+    after = classify.fit_logistic(rows, "y")
+    for model in (before, after):
+        assert model.transform(rows).count() == 400

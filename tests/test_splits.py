@@ -109,3 +109,21 @@ def test_range_buckets_rise_with_the_value(spark):
     )
     assert len(bounds) > 2
     assert all(a["high"] < b["low"] for a, b in zip(bounds, bounds[1:]))
+
+
+def test_text_keys_rank_like_numbers(spark):
+    df = spark.range(3000).select(F.format_string("Customer#%09d", F.col("id") * 7919 % 3000).alias("k"), (F.col("id") % 3).alias("y"))
+    for buckets in (1, 16):
+        rows = rank.key_rank(df, "k", by=["y"], buckets=buckets).collect()
+        for y in range(3):
+            own = sorted(((r["k"], r["rank"]) for r in rows if r["y"] == y))
+            assert [r for _, r in own] == list(range(1, len(own) + 1))
+    folds = splits.stratified_folds(df, "y", "k")
+    assert folds.count() == 3000 and folds.where("fold is null").count() == 0
+
+
+def test_text_cuts_balance_keys_with_one_prefix(spark):
+    df = spark.range(20_000).select(F.format_string("same-prefix-%06d", "id").alias("k"))
+    cuts = rank.text_cuts(df, "k", 16)
+    sizes = [r["count"] for r in df.groupBy(rank.bucket_of(F.col("k"), cuts).alias("b")).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 20_000 / 4
