@@ -37,6 +37,7 @@ MIN_DOCS = 3
 MARKER_SHARE = 0.9
 #: Toxic from this probability of grade 1 or more (the penalty draws probabilities down).
 TOXIC_FROM = 0.2
+PENALTY = 0.027
 MEMORY_WORDS = 500_000
 
 
@@ -81,7 +82,7 @@ def grades(x: Sparse, toxic: np.ndarray) -> np.ndarray:
 
 
 def fit_ordinal(
-    x: Sparse, grade: np.ndarray, levels: int = 3, penalty: float = 1.5e-4, steps: int = 100
+    x: Sparse, grade: np.ndarray, levels: int = 3, penalty: float = 3e-4, steps: int = 100
 ) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and ascending thresholds by accelerated proximal gradient steps.
 
@@ -138,7 +139,11 @@ def fit(sample: DataFrame) -> Model:
         [np.frombuffer(v, np.float32) for v in rows["counts"].to_pylist()],
         BUCKETS,
     )
-    w, t = fit_ordinal(x, grades(x, toxic))
+    # Columns of one or two documents of the sample are noise.
+    frequent = np.bincount(x.columns, minlength=BUCKETS) >= MIN_DOCS
+    x.values = np.where(frequent[x.columns], x.values, 0).astype(np.float32)
+    # Noise falls with the root of the sample's size, and so does the penalty against it.
+    w, t = fit_ordinal(x, grades(x, toxic), penalty=PENALTY / np.sqrt(len(toxic)))
     return Model(w.astype(np.float32), tuple(map(float, t)))
 
 
