@@ -89,6 +89,7 @@ class Judged:
     profile: DataFrame
     weights: DataFrame
     fold_areas: DataFrame
+    fold_summary: DataFrame
     roc_band: DataFrame
     metrics: DataFrame
     scores: DataFrame
@@ -140,6 +141,7 @@ def run(
         profile=report,
         weights=classify.balanced_weights(train, TARGET),
         fold_areas=metrics.curve_areas(out_of_fold, TARGET, "score", ["fold"]),
+        fold_summary=metrics.fold_area_summary(out_of_fold, TARGET, "score", "fold"),
         roc_band=metrics.roc_mean(metrics.roc_grid(out_of_fold, TARGET, "score", ["fold"])),
         metrics=spark.read.json(f"{out}/metrics"),
         scores=scores,

@@ -196,6 +196,15 @@ def roc_mean_area(mean: DataFrame, points: int = 100) -> DataFrame:
     return mean.agg((F.sum(F.col("mean_tpr") * weight) / (points - 1)).alias("mean_auc"))
 
 
+def fold_area_summary(df: DataFrame, label: str, score: str, fold: str, points: int = 100) -> DataFrame:
+    """``(mean_auc, std_auc)``: the area under the mean curve of the folds, and the population
+    standard deviation of the folds' own areas."""
+    mean = roc_mean_area(roc_mean(roc_grid(df, label, score, [fold], points), points), points)
+    areas = curve_areas(df, label, score, [fold], only=["auroc"])
+    # Two single rows.
+    return mean.crossJoin(areas.agg(F.stddev_pop("auroc").alias("std_auc")))
+
+
 # --- Class decisions ------------------------------------------------------------
 
 

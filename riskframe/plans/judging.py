@@ -8,6 +8,8 @@ from riskframe.operators import metrics, splits
 from riskframe.plans.registry import query
 from riskframe.plans.tables import SQL_FOLDS, SQL_PARTS, table, targets
 from riskframe.plans.texts import rounded
+from riskframe.session import checkpointed, scratch_path
+from riskframe.sources import sinks
 
 # Scores on two inputs: documents by length (few rows, real labels), orders by price
 # (many distinct scores).
@@ -241,6 +243,55 @@ def _(spark, folder):
     return rounded(metrics.roc_mean(fold_grid(spark, folder)))
 
 
+@query(
+    "roc_fold_summary",
+    f"""
+    WITH {SQL_MEAN},
+    mid AS (
+      SELECT fold, is_bad AS y, rank() OVER (PARTITION BY fold ORDER BY score)
+        + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0::DOUBLE AS r FROM s),
+    areas AS (
+      SELECT fold, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y)) AS auroc FROM mid GROUP BY fold)
+    SELECT round(mean_auc, 6) AS mean_auc, round(std_auc, 6) AS std_auc FROM (
+      SELECT sum((mean_tpr + mean0) / 2 * (fpr - fpr0)) AS mean_auc FROM (
+        SELECT *, lag(mean_tpr) OVER (ORDER BY grid) AS mean0, lag(fpr) OVER (ORDER BY grid) AS fpr0 FROM means)),
+      (SELECT stddev_pop(auroc) AS std_auc FROM areas)
+    """,
+)
+def _(spark, folder):
+    scored = checkpointed(scored_documents(spark, folder, "fold"))
+    return rounded(metrics.fold_area_summary(scored, "is_bad", "score", "fold"))
+
+
+@query(
+    "metrics_file",
+    f"""
+    WITH {SQL_BY_PART}, {sql_cells('is_bad', 'part')}, {SQL_DECIDED}, {sql_areas('is_bad', 'part')}
+    SELECT part, {', '.join(f'round({n}, 6) AS {n}' for n in NINE)} FROM decided JOIN areas USING (part)
+    """,
+)
+def _(spark, folder):
+    # Written as JSON records and read back.
+    path = scratch_path(spark, "metrics")
+    scored = scored_documents(spark, folder, "part")
+    sinks.write_metrics(metrics.binary_metrics(scored, "is_bad", "prediction", "score", ["part"]), path)
+    return rounded(spark.read.json(path)).select("part", *NINE)
+
+
+@query(
+    "predictions_file",
+    """
+    SELECT doc_id, printf('%.6f', n_chars / (n_chars + 2000)::DOUBLE) AS prediction, (1 - quality)::INTEGER AS y_true
+    FROM documents JOIN labels USING (doc_id)
+    """,
+)
+def _(spark, folder):
+    # Written as headered CSV and read back.
+    path = scratch_path(spark, "predictions")
+    sinks.write_predictions(scored_documents(spark, folder, "part"), path, "doc_id", "is_bad", "score")
+    return spark.read.csv(path, header=True, schema="doc_id long, prediction string, y_true int")
+
+
 @query(
     "cohen_kappa",
     f"""

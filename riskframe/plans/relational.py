@@ -324,6 +324,47 @@ def _(spark, folder):
     return profile.null_counts(with_gaps(spark, folder), GAP_COLUMNS)
 
 
+def with_nan(spark, folder):
+    """``events.value`` with NaN instead of every value below 10; the rest as it is."""
+    value = F.when(F.col("value") < 10, F.lit(float("nan"))).otherwise(F.col("value"))
+    return table(spark, folder, "events").select("event_id", value.alias("value"))
+
+
+@query(
+    "null_counts_nan",
+    """
+    SELECT 'event_id' AS "column", count(*) - count(event_id) AS nulls FROM events
+    UNION ALL SELECT 'value', count(*) - count(CASE WHEN value >= 10 THEN value END) FROM events
+    """,
+)
+def _(spark, folder):
+    return profile.null_counts(with_nan(spark, folder), ["event_id", "value"])
+
+
+@query(
+    "describe_nan",
+    """
+    SELECT 'value' AS "column", count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min,
+      round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS q2, round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS max
+    FROM (SELECT CASE WHEN value >= 10 THEN value END AS v FROM events)
+    """,
+)
+def _(spark, folder):
+    numbers = profile.describe_numeric(with_nan(spark, folder), ["value"])
+    return numbers.select("column", "count", *[F.round(c, 6).alias(c) for c in numbers.columns[2:]])
+
+
+@query(
+    "folds_by_name",
+    """
+    SELECT c_name, c_nationkey, (ntile(5) OVER (PARTITION BY c_nationkey ORDER BY c_name) - 1)::INTEGER AS fold FROM customer
+    """,
+)
+def _(spark, folder):
+    # Keys are texts.
+    return splits.stratified_folds(table(spark, folder, "customer").select("c_name", "c_nationkey"), "c_nationkey", "c_name")
+
+
 @query(
     "value_counts",
     """
