@@ -104,9 +104,15 @@ def run(
     folds: int = 5,
     leaky: bool = False,
     max_features: int = 10_000,
+    multi_line: bool = True,
 ) -> Judged:
-    """Read ``csv``, write every stage under the folder ``out`` and return the results."""
-    loans = tables.read_csv(spark, csv)
+    """Read ``csv``, write every stage under the folder ``out`` and return the results.
+
+    The CSV is parsed for its types and once more; all stages read the Parquet copy. Without
+    ``multi_line`` a file is read in splits (its texts then hold no line breaks).
+    """
+    sinks.write_features(tables.read_csv(spark, csv, multi_line=multi_line), f"{out}/loans")
+    loans = spark.read.parquet(f"{out}/loans")
     sinks.write_schema(loans, f"{out}/schema")
     parts = checkpointed(splits.train_val_test_split(loans.select(KEY, TARGET), TARGET, KEY))
     sinks.write_ground_truth(parts, f"{out}/ground_truth", KEY, TARGET)

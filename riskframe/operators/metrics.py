@@ -58,8 +58,11 @@ def curve_counts(
     return totals.withColumnsRenamed({"tp_all": "pos_all", "fp_all": "neg_all"})
 
 
-def _origin(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+def _origin(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per group of curve counts: that of its highest score, where step and sum agree."""
+    if not by:
+        return counts.sparkSession.range(1).select()
+    return counts.filter((F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))).select(*by)
 
 
 def roc_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -67,13 +70,14 @@ def roc_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
 
     The first point has no threshold (null).
     """
-    points = curve_counts(df, label, score, by).select(
+    counts = curve_counts(df, label, score, by)
+    points = counts.select(
         *by,
         F.col("score").cast("double").alias("threshold"),
         _ratio(F.col("fp"), F.col("neg_all")).alias("fpr"),
         _ratio(F.col("tp"), F.col("pos_all")).alias("tpr"),
     )
-    start = _origin(df, by).select(
+    start = _origin(counts, by).select(
         *by,
         F.lit(None).cast("double").alias("threshold"),
         F.lit(0.0).alias("fpr"),
@@ -87,9 +91,9 @@ def pr_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> D
 
     The end point (recall 0, precision 1) has no threshold (null).
     """
+    counts = curve_counts(df, label, score, by)
     points = (
-        curve_counts(df, label, score, by)
-        .filter(F.col("tp") - F.col("pos") < F.col("pos_all"))
+        counts.filter(F.col("tp") - F.col("pos") < F.col("pos_all"))
         .select(
             *by,
             F.col("score").cast("double").alias("threshold"),
@@ -97,7 +101,7 @@ def pr_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> D
             _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         )
     )
-    end = _origin(df, by).select(
+    end = _origin(counts, by).select(
         *by,
         F.lit(None).cast("double").alias("threshold"),
         F.lit(0.0).alias("recall"),
