@@ -8,15 +8,17 @@ at most ``ERRORS`` component differs. Each set is therefore entered under every
 choice of ``ERRORS`` components left out, and all pairs within that distance share an entry. Sets with a
 similarity of 0.75 or more share one with a probability above 0.999998.
 
-Links are confirmed on whole sets, in two rounds, so that no group's pairs are listed:
-
-1. In every entry each set is compared with one member, the least by a hash; there are
-   ``ORDERS`` hashes. A group of near copies becomes one component after few comparisons.
-2. Entries that still hold several components get the rest exactly: all signature pairs between
-   different components are compared in blocks of at most ``BLOCK`` sets, and pairs within
-   ``CANDIDATE`` components are confirmed. Nothing is capped.
-
-Texts are fetched by id and text hash for the sets that are in a candidate pair only.
+Pairs that share an entry are judged by a longer sketch (``SKETCH`` values of 8 bits, a pair is
+close up to ``CLOSE`` differences; similar sets expect a quarter to differ). Only what connects sets
+is ever listed, never all pairs of a group:
+
+1. In every entry each set is compared with one member, the least by a hash; there are ``ORDERS``
+   hashes. This joins most of a group of near copies.
+2. In entries that still hold several groups, sets of different groups are compared in blocks of at
+   most ``BLOCK``; a spanning forest of what is close is kept.
+3. The connected groups of close sets hold every candidate pair. Their texts are fetched once, by id
+   and text hash, and links are confirmed on whole sets, for all pairs of a group, by blocks of at
+   most ``BLOCK`` sets; each block leaves a spanning forest of its links. Nothing is capped.
 
 Null and empty texts, and texts without words, have an empty set, link with nothing and are kept.
 Fewer than five words are one shingle. Texts are read whole. Null ids come last: a component's
@@ -44,15 +46,18 @@ CHUNKS, CHUNK, ERRORS = 10, 4, 1
 COMPONENTS = CHUNKS * CHUNK
 #: The largest distance at which a shared entry is certain.
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-#: Pairs found beyond it are still confirmed up to this distance (0.75 expects a quarter to differ).
-CANDIDATE = 24
+SKETCH = 128
+#: Five standard deviations above the 32 differences that similar sets expect.
+CLOSE = 56
 ORDERS = 3
 BLOCK = 512
+#: Shingles compared at a time when a block's links are confirmed.
+COLUMNS = 4096
 MEMORY_WORDS = 400_000
 
 _random = np.random.default_rng(5)
-_XOR = _random.integers(0, 1 << 63, COMPONENTS, np.uint64)
-_ODD = _random.integers(0, 1 << 63, COMPONENTS, np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _random.integers(0, 1 << 63, SKETCH, np.uint64)
+_ODD = _random.integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
 
@@ -80,12 +85,12 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(total)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """The low bits of the minimum of each of COMPONENTS hash functions over a set."""
-    least = np.full(COMPONENTS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 2048):
-        least = np.minimum(least, ((s[i : i + 2048, None] ^ _XOR) * _ODD).min(0))
-    return least.astype(f"<u{B_BITS // 8}")
+def signature(s: np.ndarray) -> tuple[bytes, bytes]:
+    """Low bits of the minimum of each hash function over a set: the signature and the sketch."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), 256):
+        least = np.minimum(least, ((s[i : i + 256, None] ^ _XOR) * _ODD).min(0))
+    return least[:COMPONENTS].astype(f"<u{B_BITS // 8}").tobytes(), least.astype(np.uint8).tobytes()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -96,35 +101,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def describe_sets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, text_hash, n, digest, signature)`` of every row; digest and signature are null for an empty set."""
+    """``(key, text_hash, n, digest, signature, sketch)`` of every row; the last three are null for an empty set."""
     rows = docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
-        n, digests, signatures = [], [], []
+        n, digests, marks = [], [], []
         for text in as_bytes(batch.column("text")):
             s = shingles(text)
             n.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            signatures.append(signature(s).tobytes() if len(s) else None)
+            marks.append(signature(s) if len(s) else (None, None))
         return {
             "key": batch.column("key"),
             "text_hash": batch.column("text_hash"),
             "n": n,
             "digest": digests,
-            "signature": signatures,
+            "signature": [m[0] for m in marks],
+            "sketch": [m[1] for m in marks],
         }
 
-    return map_batches(rows, run, f"key {kind}, text_hash long, n long, digest binary, signature binary")
+    return map_batches(rows, run, f"key {kind}, text_hash long, n long, digest binary, signature binary, sketch binary")
 
 
 def distinct_sets(described: DataFrame) -> DataFrame:
-    """One row per set: ``(set, key, text_hash, n, digest, signature)`` with its first id; ``set`` numbers them."""
+    """One row per set, with its first id: the columns of ``describe_sets`` and ``set``, a number."""
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash"))
     return written(
         described.where("n > 0")
         .groupBy("digest")
-        .agg(first.alias("first"), F.min("n").alias("n"), F.min("signature").alias("signature"))
+        .agg(first.alias("first"), *[F.min(c).alias(c) for c in ("n", "signature", "sketch")])
         .select(
             F.monotonically_increasing_id().alias("set"),
             F.col("first.key").alias("key"),
@@ -132,6 +138,7 @@ def distinct_sets(described: DataFrame) -> DataFrame:
             "n",
             "digest",
             "signature",
+            "sketch",
         ),
         "sets",
     )
@@ -164,17 +171,38 @@ def entries(sets: DataFrame, extra: str) -> DataFrame:
     return sets.select("set", "signature", extra).mapInArrow(run, f"entry long, chunk int, set long, {extra} long")
 
 
-def close(sig_a: np.ndarray, sig_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Which pairs of rows are near enough, in size and signature, to be confirmed."""
-    sizes = 100 * np.minimum(n_a, n_b) >= SIMILAR_PERCENT * np.maximum(n_a, n_b)
-    at = np.flatnonzero(sizes)
-    near = (sig_a[at] != sig_b[at]).sum(1) <= CANDIDATE
-    sizes[at[~near]] = False
-    return sizes
+def close(sketch_a: np.ndarray, sketch_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows are near enough, in size and sketch, to be in one group."""
+    out = 100 * np.minimum(n_a, n_b) >= SIMILAR_PERCENT * np.maximum(n_a, n_b)
+    at = np.flatnonzero(out)
+    out[at] = (sketch_a[at] != sketch_b[at]).sum(1) <= CLOSE
+    return out
+
+
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+
 
+class Forest:
+    """Joins numbers; keeps the pairs that joined something."""
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), f"<u{B_BITS // 8}").reshape(-1, COMPONENTS)
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.pairs: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        root = x
+        while (above := self.up.get(root, root)) != root:
+            root = above
+        while x != root:
+            self.up[x], x = root, self.up.get(x, x)
+        return root
+
+    def join(self, a: int, b: int, pair: tuple[int, int]) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.pairs.append(pair)
 
 
 def star_pairs(sets: DataFrame) -> DataFrame:
@@ -184,91 +212,100 @@ def star_pairs(sets: DataFrame) -> DataFrame:
     centres = rows.groupBy("entry").agg(F.min(F.struct(order.alias("order"), "set")).alias("centre"), F.count("*").alias("rows"))
     centres = centres.where("rows > 1").select("entry", F.col("centre.set").alias("b"))
     pairs = rows.join(centres, "entry").where("set != b").select(F.col("set").alias("a"), "b").distinct()
-    left = sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    right = sets.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
+    left = sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    right = sets.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     schema = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            keep = pa.array(close(_signatures(batch.column("s_a")), _signatures(batch.column("s_b")), n_a, n_b))
+            keep = pa.array(close(_sketches(batch.column("s_a")), _sketches(batch.column("s_b")), n_a, n_b))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], schema=schema)
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
+def blocks_of(members: DataFrame, group: str, size: DataFrame) -> DataFrame:
+    """Deal the members of groups to tasks: ``task`` (a number per pair of blocks) and ``own`` (the block).
+
+    ``size`` is ``(group, blocks)``. Every two members meet in at least one task.
+    """
+    own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = members.join(size, group).withColumn("own", own).select("*", others)
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return dealt.withColumn("task", F.xxhash64(group, low, high)).drop("other", "blocks")
+
+
+def by_task(df: DataFrame, function, columns: list[str]) -> DataFrame:
+    """Apply ``function(table) -> pairs`` to the rows of each task or of several whole tasks; ``(a, b)``."""
+    schema = arrow_schema("a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(table: pa.Table) -> pa.RecordBatch:
+            pairs = np.array(sorted(set(function(table))), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            task = batch.column("task").to_numpy()
+            # The last task may go on in the next batch.
+            cut = int(np.flatnonzero(task != task[-1])[-1]) + 1 if (task != task[-1]).any() else 0
+            if held and (cut or held[-1].column("task")[-1].as_py() != task[0]):
+                whole = 0 if held[-1].column("task")[-1].as_py() != task[0] else cut
+                yield out(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                held, batch, cut = [], batch.slice(whole), cut - whole
+            if cut:
+                yield out(pa.Table.from_batches([batch.slice(0, cut)]))
+                batch = batch.slice(cut)
+            held.append(batch)
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    rows = df.select("task", *columns).repartition("task").sortWithinPartitions("task", "set")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def cross_pairs(sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """``(a, b)``: all close pairs of sets that share an entry and are in different components.
+    """``(a, b)``: pairs that join all groups ``(set, part)`` with close sets under one entry.
 
-    ``parts`` is ``(set, part)``; a set that isn't there is a component by itself.
+    A set that isn't in ``parts`` is a group by itself.
     """
     marked = sets.join(parts, "set", "left").withColumn("part", F.coalesce("part", "set"))
     rows = entries(marked, "part")
-    mixed_entries = (
+    several = (
         rows.groupBy("entry")
         .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("rows"))
         .where("low != high")
         .select("entry", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     )
-    members = rows.join(mixed_entries, "entry").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    # A member goes to every pair of blocks that holds its own block.
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = members.select("entry", "set", "part", "own", others).select(
-        F.xxhash64("entry", F.least("own", "other"), F.greatest("own", "other")).alias("group"),
-        (F.least("own", "other") != F.greatest("own", "other")).alias("two"),
-        "own",
-        "set",
-        "part",
-    )
-    known = sets.select("set", "n", "signature")
-    columns = ["group", "two", "own", "set", "part", "n", "signature"]
-    grouped = dealt.join(known, "set").select(*columns).repartition("group").sortWithinPartitions("group", "set")
-    schema = arrow_schema("a long, b long")
-
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        group, own, ids, part, n = (table[c].to_numpy() for c in ("group", "own", "set", "part", "n"))
-        two = table["two"].to_numpy(zero_copy_only=False)
-        sig = _signatures(table["signature"])
-        found_a, found_b = [], []
-        at = np.arange(len(group))
-        # Rows of a group follow each other: compare at distance 1, 2, ... while any group reaches so far.
-        for d in range(1, len(group)):
-            at = at[at + d < len(group)]
-            at = at[group[at] == group[at + d]]
+    dealt = blocks_of(rows, "entry", several).join(sets.select("set", "n", "sketch"), "set")
+
+    def compare(table: pa.Table) -> list[tuple[int, int]]:
+        task, ids, part, n = (table[c].to_numpy() for c in ("task", "set", "part", "n"))
+        sketch = _sketches(table["sketch"])
+        forest = Forest()
+        at = np.arange(len(task))
+        # Rows of a task follow each other: compare at distance 1, 2, ... while any task reaches so far.
+        for d in range(1, len(task)):
+            at = at[at + d < len(task)]
+            at = at[task[at] == task[at + d]]
             if not len(at):
                 break
-            # Two blocks: only pairs across them, the rest are in the blocks' own groups.
-            pick = at[(part[at] != part[at + d]) & ~(two[at] & (own[at] == own[at + d]))]
-            hit = pick[close(sig[pick], sig[pick + d], n[pick], n[pick + d])]
-            found_a.append(ids[hit])
-            found_b.append(ids[hit + d])
-        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (found_a, found_b))
-        pairs = np.unique(np.stack([a, b], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+            pick = at[part[at] != part[at + d]]
+            hit = pick[close(sketch[pick], sketch[pick + d], n[pick], n[pick + d])]
+            for i in hit.tolist():
+                forest.join(int(part[i]), int(part[i + d]), (int(ids[i]), int(ids[i + d])))
+        return forest.pairs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            # The last group may go on in the next batch.
-            group = held["group"].to_numpy()
-            cut = int(np.searchsorted(group, group[-1]))
-            if cut:
-                yield compare(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None:
-            yield compare(held)
+    return by_task(dealt, compare, ["set", "part", "n", "sketch"])
 
-    return grouped.mapInArrow(run, "a long, b long").distinct()
 
-
-def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The pairs whose whole sets are similar. Texts come from ``docs``, for sets in a pair only."""
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    wanted = written(sets.join(wanted, "set", "left_semi").select("set", F.col("key").alias("_key"), "text_hash"), "wanted")
+def fetch_sets(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``(set, shingles)`` of ``wanted`` sets, from the texts of ``docs`` found by id and text hash."""
+    wanted = written(wanted.select("set", F.col("key").alias("_key"), "text_hash"), "wanted")
     texts = docs.select(F.col(key).alias("_own"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     same = F.col("_own").eqNullSafe(F.col("_key")) & (F.col("texts.text_hash") == F.col("wanted.text_hash"))
     found = texts.alias("texts").join(wanted.alias("wanted"), same).select("set", "text")
@@ -277,27 +314,49 @@ def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str = "do
         return {"set": batch.column("set"), "shingles": [shingles(t).tobytes() for t in as_bytes(batch.column("text"))]}
 
     # Repeated rows bring one set several times.
-    whole = written(
-        map_batches(found, run, "set long, shingles binary").groupBy("set").agg(F.min("shingles").alias("shingles")), "shingles"
-    )
-    schema = arrow_schema("a long, b long")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= SIMILAR_PERCENT * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], schema=schema)
-
-    return (
-        pairs.join(whole.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(whole.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(check, "a long, b long")
-    )
+    return map_batches(found, run, "set long, shingles binary").groupBy("set").agg(F.min("shingles").alias("shingles"))
+
+
+def links(sets: list[np.ndarray]) -> np.ndarray:
+    """All pairs (i, j), i < j, of similar sets."""
+    sizes = np.array([len(s) for s in sets])
+    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    # Shingles of one set alone intersect nothing; the others are counted by products of 0/1 columns.
+    shared = counts > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    rows, column = rows[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        ones = np.zeros((len(sets), COLUMNS), np.float32)
+        ones[rows[a:b], column[a:b] - first] = 1
+        both += ones @ ones.T
+    either = sizes[:, None] + sizes[None, :] - both
+    return np.argwhere(np.triu(100 * both >= SIMILAR_PERCENT * either, 1))
+
+
+def confirmed(docs: DataFrame, sets: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(a, b)``: links between whole sets that join all that are linked inside each group ``(set, part)``."""
+    size = groups.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = blocks_of(groups, "part", size)
+    whole = fetch_sets(docs, sets.join(groups.select("set"), "set", "left_semi"), key)
+
+    def compare(table: pa.Table) -> list[tuple[int, int]]:
+        task, ids = table["task"].to_numpy(), table["set"].to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        forest = Forest()
+        edges = np.flatnonzero(np.r_[True, task[1:] != task[:-1], True])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a > 1:
+                for i, j in links(sets[a:b]).tolist():
+                    forest.join(ids[a + i], ids[a + j], (ids[a + i], ids[a + j]))
+        return forest.pairs
+
+    return by_task(dealt.join(whole, "set"), compare, ["set", "shingles"])
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -324,13 +383,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, n_shingles, component_id, kept, text_hash)`` of every row of ``docs``."""
     described = written(describe_sets(docs, key).withColumn("row", F.monotonically_increasing_id()), "described")
     sets = distinct_sets(described)
-    edges = checkpointed(confirmed(docs, sets, written(star_pairs(sets), "pairs"), key))
-    parts = connected(edges)
-    rest = written(cross_pairs(sets, parts), "pairs")
-    if not rest.isEmpty():
-        more = checkpointed(confirmed(docs, sets, rest, key))
-        if not more.isEmpty():
-            parts = connected(edges.union(more))
+    near = checkpointed(star_pairs(sets))
+    more = checkpointed(cross_pairs(sets, connected(near)))
+    groups = connected(near.union(more))
+    parts = connected(checkpointed(confirmed(docs, sets, groups, key)))
     whole = sets.join(parts, "set", "left").select("digest", F.coalesce("part", "set").alias("part"), "key", "set")
     least = whole.groupBy("part").agg(
         F.min(F.struct(F.col("key").isNull().alias("none"), "key", "set")).alias("least")
