@@ -51,6 +51,8 @@ SKETCH = 128
 CLOSE = 56
 ORDERS = 3
 BLOCK = 512
+#: Bits of the filter of wanted texts; a fixed size, and a full filter merely lets more texts pass.
+FILTER_BITS = 1 << 26
 #: Shingles compared at a time when a block's links are confirmed.
 COLUMNS = 4096
 MEMORY_WORDS = 400_000
@@ -303,10 +305,47 @@ def cross_pairs(sets: DataFrame, parts: DataFrame) -> DataFrame:
     return by_task(dealt, compare, ["set", "part", "n", "sketch"])
 
 
+def filter_bits(text_hash: np.ndarray) -> np.ndarray:
+    """Three bit positions per text hash (rows)."""
+    h = mixed(text_hash.view(np.uint64))
+    return np.stack([(h >> np.uint64(shift)) % np.uint64(FILTER_BITS) for shift in (0, 19, 38)], 1).astype(np.int64)
+
+
+def wanted_filter(wanted: DataFrame) -> np.ndarray:
+    """The bits of all wanted text hashes, put together by Spark; FILTER_BITS of them at any size."""
+    schema = arrow_schema("word long, bits long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = filter_bits(batch.column("text_hash").to_numpy()).ravel()
+            words, inverse = np.unique(at >> 6, return_inverse=True)
+            out = np.zeros(len(words), np.uint64)
+            np.bitwise_or.at(out, inverse, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(out.view(np.int64))], schema=schema)
+
+    found = wanted.select("text_hash").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = found.toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def fetch_sets(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``(set, shingles)`` of ``wanted`` sets, from the texts of ``docs`` found by id and text hash."""
+    """``(set, shingles)`` of ``wanted`` sets, from the texts of ``docs`` found by id and text hash.
+
+    A filter of the wanted hashes keeps most other texts from being shuffled.
+    """
     wanted = written(wanted.select("set", F.col("key").alias("_key"), "text_hash"), "wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
     texts = docs.select(F.col(key).alias("_own"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = filter_bits(batch.column("text_hash").to_numpy())
+            there = ((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+            yield batch.filter(pa.array(there))
+
+    texts = texts.mapInArrow(maybe, texts.schema)
     same = F.col("_own").eqNullSafe(F.col("_key")) & (F.col("texts.text_hash") == F.col("wanted.text_hash"))
     found = texts.alias("texts").join(wanted.alias("wanted"), same).select("set", "text")
 
