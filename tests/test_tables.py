@@ -95,3 +95,16 @@ def test_quantiles_across_many_buckets(spark):
 
 def test_the_cluster_folder_is_used(spark):
     assert shared_folder(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+
+
+def test_nan_counts_as_missing_in_profiles(spark):
+    values = [1.0, float("nan"), None, 3.0, 10.0, 4.5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    truth = pd.Series(values, dtype=float).describe()
+    nulls = {r["column"]: r["nulls"] for r in profile.null_counts(df, ["id", "v"]).collect()}
+    assert nulls == {"id": 0, "v": 2}
+    row = profile.describe_numeric(df, ["v"]).first()
+    names = {"count": "count", "mean": "mean", "std": "std", "min": "min", "q1": "25%", "q2": "50%", "q3": "75%", "max": "max"}
+    assert [row[n] for n in names] == pytest.approx([truth[t] for t in names.values()])
+    rough = profile.describe_numeric(df, ["v"], approximate=True).first()
+    assert rough["count"] == 4 and rough["min"] <= rough["q1"] <= rough["q2"] <= rough["q3"] <= rough["max"]
