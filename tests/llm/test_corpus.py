@@ -301,3 +301,29 @@ def test_scores_without_learning_rows(spark):
     model, counts = lm.learn(df.limit(0))
     row = lm.score(df, model, counts).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_rare_ngrams_of_a_large_corpus_are_held(spark):
+    # More than 2^21 tokens: n-grams seen once count all the same.
+    table = [(0, "the " * 2_200_000), (1, "cat sat on mats"), (2, "cat sat")]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    model, counts = lm.learn(df)
+    found = model.filter.levels(np.array([lm.xxhash.xxh64_intdigest(w) for w in (b"cat", b"on", b"mats")], np.uint64))
+    assert found[0] >= 2 and (found[1:] >= 1).all()
+    check_scores(lm.score(df.where("doc_id > 0"), model, counts).collect(), table, range(3))
+
+
+def test_filter_in_shards_scores_like_a_broadcast_one(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_BITS", 1024)
+    monkeypatch.setattr(lm, "GROUP", 2)
+    table = [(i, f"the the cat {i} sat\non THE mat") for i in range(200)] + [(200, None), (201, "the " * 30_000)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    model, counts = lm.learn(df)
+    assert model.shards > 3 and len(model.filter.words) * 64 == model.shards * model.bits
+    want = {r.doc_id: r.score for r in lm.score(df, model, counts).collect()}
+    monkeypatch.setattr(lm, "BROADCAST_BITS", 0)
+    model, counts = lm.learn(df)
+    assert model.filter is None
+    rows = lm.score(df, model, counts).collect()
+    assert len(rows) == len(table) and {r.doc_id: r.score for r in rows} == pytest.approx(want)
+    check_scores(rows, table, range(202))
