@@ -248,16 +248,24 @@ def _(spark, folder):
 BODY_DIMENSIONS, SUBJECT_MIN_DF = 50, 50
 
 
-def text_vectors(spark, folder):
-    """tf-idf vectors of all documents; zeros where a document has no known word."""
-    _, known = tfidf_words(spark, folder)
-    return checkpointed(topics.tfidf_vectors(bow_frame(spark, folder), "doc_id", "terms", known))
+def body_block(spark, folder):
+    """``(doc_id, projection)`` of all documents, from tf-idf of all terms, and the dimensions.
+
+    Zeros where a document has no term.
+    """
+    terms = bow_frame(spark, folder)
+    known = checkpointed(vocab.term_stats(terms, "terms")).withColumn("term_id", F.lit(None).cast("long"))
+    weights = vocab.tfidf(terms, "doc_id", "terms", known)
+    cells = checkpointed(weights.select("doc_id", "term", F.col("tfidf").alias("value")))
+    found, _, size = topics.svd_of_cells(cells, "doc_id", BODY_DIMENSIONS)
+    zeros = F.array_repeat(F.lit(0.0), size)
+    every = documents(spark, folder).select("doc_id").join(found, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("projection", zeros).alias("projection")), size
 
 
 @query("tfidf_svd")
 def _(spark, folder):
-    rows = text_vectors(spark, folder)
-    return topics.project(rows, "doc_id", "vector", topics.fit_svd(rows, "vector", BODY_DIMENSIONS))
+    return body_block(spark, folder)[0]
 
 
 # --- Other feature blocks -------------------------------------------------------------------
@@ -266,9 +274,8 @@ def _(spark, folder):
 @query("weighted_union")
 def _(spark, folder):
     # Subject: tf-idf of the source name. Body: tf-idf in few dimensions. Statistics of the text.
-    rows = text_vectors(spark, folder)
-    V = topics.fit_svd(rows, "vector", BODY_DIMENSIONS)
-    body = topics.project(rows, "doc_id", "vector", V).select("doc_id", array_to_vector("projection").alias("body"))
+    projected, dimensions = body_block(spark, folder)
+    body = projected.select("doc_id", array_to_vector("projection").alias("body"))
     subject_terms = documents(spark, folder).select("doc_id", vocab.bow_tokens(F.col("source")).alias("terms"))
     subject_known = checkpointed(vocab.vocabulary(subject_terms, "terms", min_df=SUBJECT_MIN_DF))
     subject = topics.tfidf_vectors(subject_terms, "doc_id", "terms", subject_known, "subject")
@@ -277,7 +284,7 @@ def _(spark, folder):
     filled = prep.MeanImputer.fit(counted, numbers).transform(counted)
     block = VectorAssembler(inputCols=numbers, outputCol="stats").transform(filled).select("doc_id", "stats")
     joined = subject.select("doc_id", "subject").join(body, "doc_id").join(block, "doc_id")
-    sizes = {"subject": subject_known.count(), "body": V.shape[1], "stats": len(numbers)}
+    sizes = {"subject": subject_known.count(), "body": dimensions, "stats": len(numbers)}
     for stage in prep.weighted_union({"subject": 0.8, "body": 1.0, "stats": 1.0}, sizes, "features"):
         joined = stage.transform(joined)
     return joined.select("doc_id", vector_to_array("features").alias("features"))

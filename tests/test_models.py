@@ -137,6 +137,41 @@ def test_svd_equals_numpy(spark, blocks):
     assert np.allclose(np.array(found["projection"].tolist()), X @ V)
 
 
+def test_svd_of_cells_equals_numpy(spark, blocks):
+    X, _ = blocks
+    X = np.vstack([X, np.zeros(8)])
+    cells = [(int(i), f"t{j}", float(X[i, j])) for i, j in zip(*X.nonzero())]
+    df = spark.createDataFrame(cells, "id long, term string, value double")
+    found, V, size = topics.svd_of_cells(df, "id", 3)
+    expected = np.linalg.svd(X)[2][:3].T
+    vectors = {r.term: r.v for r in V.collect()}
+    V = np.array([vectors[f"t{j}"] for j in range(8)])
+    assert size == 3 and np.allclose(np.abs(V), np.abs(expected), atol=1e-6)
+    for r in found.collect():
+        assert np.allclose(r.projection, X[r.id] @ V)
+
+
+def test_body_block_uses_all_terms(spark):
+    # More than 1,000 terms: each document of rare words has its part in the decomposition.
+    from riskframe.plans.extras import BODY_DIMENSIONS, body_block, bow_frame
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.terms for r in bow_frame(spark, folder).collect()}
+    at = {t: j for j, t in enumerate(sorted(set().union(*texts.values())))}
+    assert len(at) > 1000
+    X = np.zeros((len(texts), len(at)))
+    for i, terms in enumerate(texts.values()):
+        for t in terms:
+            X[i, at[t]] += 1
+    X *= np.log((1 + len(X)) / (1 + (X > 0).sum(axis=0))) + 1
+    X /= np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)
+    found = body_block(spark, folder)[0].collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    got = np.linalg.norm([r.projection for r in found], axis=0)
+    want = np.linalg.svd(X, compute_uv=False)[:BODY_DIMENSIONS]
+    assert np.allclose(got[:20], want[:20], rtol=0.01) and np.allclose(got, want, rtol=0.05)
+
+
 def test_tfidf_vectors_keep_every_row(spark):
     rows = [(0, ["a", "b", "a"]), (1, []), (2, ["z"]), (3, ["b", "b"]), (4, None)]
     df = spark.createDataFrame(rows, "id long, terms array<string>").fillna({})
