@@ -54,10 +54,13 @@ COMBINING = re.compile("[" + chr(0x300) + "-" + chr(0x36F) + "]")
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, so that words can be encoded by themselves."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # With ``special``: what the tokenizer takes for a token of its own, wherever it stands in a text.
+        added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
+        self.literals = [t.content.lower() for t in added]
         vocabulary = self.tokenizer.get_vocab()
         self.kind = "<u2" if max([*vocabulary.values(), end_id]) < 1 << 16 else "<u4"
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -71,6 +74,14 @@ class WordEncoder:
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def whole_ids(self, text: str) -> bytes:
+        """Ids of a text with special tokens in it, as the tokenizer gives them unless told otherwise."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self.ids(text)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def plain_ids(self, words: list[str]) -> Iterator[bytes]:
         """Ids of plain words, encoded together and cut at the ids that end a word."""
         for i in range(0, len(words), JOINED_WORDS):
@@ -103,22 +114,31 @@ class WordEncoder:
         """Ids with the end mark, as unsigned integers of ``kind``."""
         if len(self.young) > MEMORY_WORDS:
             self.old, self.young = self.young, {"": b""}
-        split = []
-        for text in texts:
-            text = (text or "").replace("\n", " ")
+        split, whole = [], {}
+        for k, text in enumerate(texts):
+            text = text or ""
+            lowered = text.lower()
+            if any(x in lowered for x in self.literals):
+                whole[k] = self.whole_ids(text) + self.end
+                text = ""
+            text = text.replace("\n", " ")
             if not COMBINING.search(text):
                 text = text.encode().translate(ASCII_LOWER).decode()
             split.append(text.split(" "))
         long = self.learn(set().union(*split).difference(self.young))
         young, end = self.young, self.end
         if long:
-            return [b"".join([young[w] if w in young else long[w] for w in words]) + end for words in split]
-        return [b"".join(map(young.__getitem__, words)) + end for words in split]
+            out = [b"".join([young[w] if w in young else long[w] for w in words]) + end for words in split]
+        else:
+            out = [b"".join(map(young.__getitem__, words)) + end for words in split]
+        for k, ids in whole.items():
+            out[k] = ids
+        return out
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, end_id: int) -> WordEncoder:
-    return WordEncoder(path, end_id)
+    return WordEncoder(path, end_id, special=True)
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_id") -> DataFrame:

@@ -91,6 +91,14 @@ def test_words_encode_as_whole_texts(monkeypatch):
             assert np.frombuffer(ids, own.kind).tolist() == want
 
 
+def test_special_tokens_in_texts_encode_as_by_default():
+    own, whole = packing.encoder(WORD_BPE, 1), Tokenizer.from_file(WORD_BPE)
+    sample = ["a <|endoftext|> b", "Plain text.", "x<|startoftext|>y\n<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> é", "a <| b"]
+    assert whole.encode(sample[0], add_special_tokens=False).ids == [320, 49407, 321]
+    for text, ids in zip(sample * 2, own.encode(sample * 2), strict=True):
+        assert np.frombuffer(ids, own.kind).tolist() == whole.encode(text, add_special_tokens=False).ids + [1]
+
+
 def check_pieces(rows, ids_by_key, window):
     """Every id in one piece, sequences gapless and full, or a power of two long."""
     by_key, by_sequence = {}, {}
