@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import bpe, fingerprint, langid, lm, minhash, packing, quality_crf, quality_rules, toxicity, urlfilter
+from riskframe.llm import (
+    alignment,
+    bpe,
+    filter_audit,
+    fingerprint,
+    langid,
+    lm,
+    minhash,
+    packing,
+    pii,
+    quality_crf,
+    quality_rules,
+    toxicity,
+    urlfilter,
+)
 from riskframe.llm.common import id_remainder
 from riskframe.plans.registry import Run
 
@@ -92,6 +106,20 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(docs, model, counts).withColumn("held_out", remainder == 2)
 
 
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(pii.detect(table(spark, folder, "documents")))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    path_a, path_b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.report(alignment.align_documents(table(spark, folder, "documents"), path_a, path_b), path_b)
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    failures = filter_audit.corpus_failures(table(spark, folder, "documents"))
+    return filter_audit.audit(filter_audit.contingency(failures, table(spark, folder, "labels")))
+
+
 _LISTED = ", ".join(f"'{x}'" for x in LISTED_LABELS)
 ORACLES["op9_url_cascade"] = f"""
 WITH split AS (
@@ -113,6 +141,50 @@ SELECT page_id, host, path, rule, CASE
   WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
 FROM ruled"""
 
+ORACLES["op13_filter_audit"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+firsts AS (SELECT text, min(doc_id) AS least FROM worded GROUP BY text),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT w.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+    [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+     100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 10 * length(w.text),
+     regexp_matches(w.text, '[#$%&*|]'), coalesce(w.doc_id > f.least, false)] AS fails
+  FROM worded w JOIN firsts f ON f.text = w.text LEFT JOIN marks m ON m.doc_id = w.doc_id),
+cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM judged GROUP BY part, fails),
+orders(filter_order) AS (
+  SELECT ''
+  UNION ALL
+  SELECT filter_order || letter
+  FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter)
+  WHERE NOT contains(filter_order, letter)),
+steps AS (
+  SELECT filter_order, step, instr('ABCDE', filter_order[step]) AS f,
+    [instr('ABCDE', x) FOR x IN string_split(filter_order[1:step - 1], '') IF x <> ''] AS earlier
+  FROM orders, range(1, 6) AS r(step)
+  WHERE length(filter_order) = 5),
+seen AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS failing,
+    len([e FOR e IN earlier IF fails[e]]) > 0 AS gone, len([x FOR x IN fails IF x]) = 1 AS one
+  FROM cells, steps),
+counted AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN gone AND failing THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN failing AND one THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN NOT gone AND failing THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN NOT gone AND failing THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted"""
+
 QUERIES |= {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -124,4 +196,7 @@ QUERIES |= {
     "op8_fingerprint": op8_fingerprint,
     "op9_url_cascade": op9_url_cascade,
     "op10_lm": op10_lm,
+    "op11_pii": op11_pii,
+    "op12_alignment": op12_alignment,
+    "op13_filter_audit": op13_filter_audit,
 }
