@@ -30,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from riskframe.llm.common import ASCII_LOWER, arrow_schema, map_batches
+from riskframe.llm.common import arrow_schema, map_batches
 from riskframe.operators.rank import running_totals
 from riskframe.session import checkpointed, scratch_path
 
@@ -41,9 +42,8 @@ WINDOW = 2048
 END_ID = 1
 MEMORY_CHARS, MEMORY_WORDS = 40, 300_000
 JOINED_WORDS = 2000
-#: Words that are one pre-token: letters that neither case nor normal form changes beyond themselves.
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-MARKS = ".,!?|"
+#: Letters that neither case nor normal form changes beyond themselves, then ASCII marks: two pre-tokens, or one.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 #: Marks that compose with letters; elsewhere A-Z may be lower-cased before the tokenizer does.
 COMBINING = re.compile("[" + chr(0x300) + "-" + chr(0x36F) + "]")
 
@@ -67,9 +67,10 @@ class WordEncoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end = np.array([end_id], self.kind).tobytes()
         # Two generations: what is used again moves to the young one, so frequent words stay.
-        self.young: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.marks = {m: self.ids(m) for m in MARKS}
+        # A text without the common start of the literals holds none of them.
+        self.start = os.path.commonprefix(self.literals)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -82,58 +83,78 @@ class WordEncoder:
         finally:
             self.tokenizer.encode_special_tokens = True
 
-    def plain_ids(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of plain words, encoded together and cut at the ids that end a word."""
+    def plain_ids(self, words: list[str], pieces: list[int]) -> Iterator[bytes]:
+        """Ids of words of so many pre-tokens, encoded together and cut at the ids that end a pre-token."""
         for i in range(0, len(words), JOINED_WORDS):
-            part = words[i : i + JOINED_WORDS]
-            joined = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
-            ids = np.array(joined, self.kind)
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            joined = self.tokenizer.encode_batch_fast([" ".join(words[i : i + JOINED_WORDS])], add_special_tokens=False)
+            ids = np.array(joined[0].ids, self.kind)
+            last = np.flatnonzero(self.ends[ids])[np.cumsum(pieces[i : i + JOINED_WORDS]) - 1]
             raw, a = ids.tobytes(), 0
-            for b in stops:
+            for b in ((last + 1) * ids.itemsize).tolist():
                 yield raw[a:b]
                 a = b
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Take ``words`` into the young memory; the ids of very long ones are returned instead."""
-        old, young = self.old, self.young
-        young.update({w: old[w] for w in words if w in old})
-        words = words.difference(young)
-        # A word with one mark behind it is the word and the mark.
-        marked = {w for w in words if w[-1] in MARKS and PLAIN.fullmatch(w[:-1])}
-        stems = {w[:-1] for w in marked}
-        fresh = words.difference(marked).union(stems.difference(young))
-        plain = [w for w in fresh if PLAIN.fullmatch(w)]
-        young.update(zip(plain, self.plain_ids(plain), strict=True))
-        young.update({w: young[w[:-1]] + self.marks[w[-1]] for w in marked})
-        rest = {w: self.ids(w) for w in fresh.difference(plain)}
-        young.update({w: x for w, x in rest.items() if len(w) <= MEMORY_CHARS})
-        return {w: x for w, x in rest.items() if len(w) > MEMORY_CHARS}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids with the end mark, as unsigned integers of ``kind``."""
+    def fresh_ids(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words without white space, those of plain letters and marks many at a time."""
+        plain, pieces, rest = [], [], []
+        for w in words:
+            m = PLAIN.fullmatch(w)
+            if m and w:
+                plain.append(w)
+                pieces.append((m.end(1) > 0) + (m.end(1) < len(w)))
+            else:
+                rest.append(w)
+        yield from zip(plain, self.plain_ids(plain, pieces), strict=True)
+        for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            yield w, np.array(found.ids, self.kind).tobytes()
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. All but very long ones are remembered."""
         if len(self.young) > MEMORY_WORDS:
-            self.old, self.young = self.young, {"": b""}
-        split, whole = [], {}
-        for k, text in enumerate(texts):
-            text = text or ""
-            lowered = text.lower()
-            if any(x in lowered for x in self.literals):
-                whole[k] = self.whole_ids(text) + self.end
-                text = ""
-            text = text.replace("\n", " ")
-            if not COMBINING.search(text):
-                text = text.encode().translate(ASCII_LOWER).decode()
-            split.append(text.split(" "))
-        long = self.learn(set().union(*split).difference(self.young))
-        young, end = self.young, self.end
-        if long:
-            out = [b"".join([young[w] if w in young else long[w] for w in words]) + end for words in split]
-        else:
-            out = [b"".join(map(young.__getitem__, words)) + end for words in split]
-        for k, ids in whole.items():
-            out[k] = ids
-        return out
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = [w for w in words if w not in young]
+        known = {w: old[w] for w in missing if w in old}
+        young.update(known)
+        long = {}
+        for w, ids in self.fresh_ids([w for w in missing if w not in known]):
+            (young if len(w) <= MEMORY_CHARS else long)[w] = ids
+        return [young[w] if w in young else long[w] for w in words]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids with the end mark, as unsigned integers of ``kind``.
+
+        The words of all texts are split and told apart by Arrow; each distinct one is encoded once.
+        """
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        column = pc.fill_null(column, "")
+        whole = {}
+        if self.literals:
+            for k in np.flatnonzero(pc.match_substring(column, self.start, ignore_case=True).to_numpy(False)).tolist():
+                text = column[k].as_py()
+                if any(x in text.lower() for x in self.literals):
+                    whole[k] = self.whole_ids(text) + self.end
+        lowered = pc.ascii_lower(column)
+        wide = np.flatnonzero(~pc.string_is_ascii(column).to_numpy(False)).tolist()
+        kept = [k for k in wide if k not in whole and COMBINING.search(column[k].as_py())]
+        if kept or whole:
+            mask = np.zeros(len(column), bool)
+            mask[kept + list(whole)] = True
+            instead = pa.array(["" if k in whole else column[k].as_py() for k in np.flatnonzero(mask).tolist()], pa.string())
+            lowered = pc.replace_with_mask(lowered, pa.array(mask), instead)
+        words = pc.split_pattern(pc.replace_substring(lowered, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        raw = self.word_ids(coded.dictionary.to_pylist())
+        width = len(self.end)
+        sizes = np.array([len(x) for x in raw], np.int64) // width
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), np.frombuffer(b"".join(raw), self.kind))
+        ids = lists.take(coded.indices).flatten().to_numpy()
+        ends = np.r_[0, np.cumsum(sizes[coded.indices.to_numpy()])]
+        cuts = ends[words.offsets.to_numpy()].tolist()
+        return [
+            whole[k] if k in whole else ids[a:b].tobytes() + self.end
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
+        ]
 
 
 @functools.lru_cache(maxsize=2)
@@ -151,7 +172,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_i
 
     def run(batch: pa.RecordBatch) -> dict:
         work = encoder(path, end_id)
-        ids = work.encode(batch.column("text").to_pylist())
+        ids = work.encode(batch.column("text"))
         width = np.dtype(work.kind).itemsize
         return {
             "row": batch.column("row"),
