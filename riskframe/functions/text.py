@@ -113,12 +113,10 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({WORD})"), F.lit(1))
 
 
-def preview(df: DataFrame, key: str, text: str, clean: Column, rows: int = 20) -> DataFrame:
-    """The first ``rows`` texts beside their normalised form and the expression ``clean``.
+def preview(df: DataFrame, key: str, text: str, *more: Column, rows: int = 20) -> DataFrame:
+    """The first ``rows`` texts beside their normalised form and the expressions ``more``.
 
     Rows are chosen first, so nothing is computed for the others.
     """
     first = df.orderBy(key).limit(rows)
-    return first.select(
-        F.col(key), F.col(text), normalize_text(F.col(text)).alias("normalized"), clean
-    )
+    return first.select(F.col(key), F.col(text), normalize_text(F.col(text)).alias("normalized"), *more)

@@ -284,5 +284,8 @@ def clean_tokens(
 
 
 def clean_text(c: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """The cleaned tokens joined by spaces; a missing text counts as ``m``."""
+    """The stems joined by spaces; a missing text counts as ``m``.
+
+    A plain expression, also for streams; ``lexicon.clean_texts`` goes on to tag and rewrite the stems.
+    """
     return F.array_join(clean_tokens(F.coalesce(c, F.lit("m")), stop_words), " ")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.functions import encode, stats, text, tokens
 from riskframe.functions.wordlists import TAG_CLASSES
-from riskframe.operators import classify, metrics, prep, profile, splits, vocab
+from riskframe.operators import classify, lexicon, metrics, prep, profile, splits, vocab
 from riskframe.session import checkpointed
 from riskframe.sources import sinks, tables
 
@@ -51,19 +51,19 @@ MODEL_COLUMNS = (
 def featurize(df: DataFrame) -> DataFrame:
     """Recode the categories and add ``clean_text``, text statistics and tag counts.
 
-    One narrow pass over the rows.
+    One narrow pass over the rows, then the stems of the cleaned text are rewritten by the lexicon of the corpus.
     """
     coded = df.withColumns({c: code(F.col(c)) for c, code in RECODED.items()})
-    cleaned = coded.withColumn("clean_text", tokens.clean_text(F.col("Notes")))
-    counted = stats.with_text_stats(cleaned, TEXTS)
+    counted = stats.with_text_stats(coded, TEXTS)
     tags = tokens.tag_tokens(tokens.tokenize(text.pad_punctuation(F.col("Notes"))))
-    return (
+    numbered = (
         counted.withColumn("_tags", tags)
         .withColumns(
             {feature: tokens.tag_class_count(F.col("_tags"), n) for n, feature in TAG_FEATURES.items()}
         )
         .drop("_tags")
     )
+    return lexicon.clean_texts(numbered, "Notes", keep_source=True)
 
 
 def bag_of_words(

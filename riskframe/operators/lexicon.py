@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
 
-from riskframe.functions.tokens import stem_tokens, tag, tag_tokens
-from riskframe.functions.wordlists import TAG_CLASSES
+from pyspark.sql import Column, DataFrame, functions as F
+
+from riskframe.functions.tokens import clean_tokens, stem_tokens, tag, tag_tokens
+from riskframe.functions.wordlists import STOP_WORDS, TAG_CLASSES
 from riskframe.operators.lookup import BROADCAST_BYTES, lookup_join
 from riskframe.session import checkpointed
 
@@ -95,6 +97,59 @@ def rewrite_tokens(
     return found.groupBy(key).agg(F.transform(ordered, lambda x: x["word"]).alias(name))
 
 
+def word_class(token: Column) -> Column:
+    """``verb`` for tokens with a verb tag, else ``noun``: the class a token is looked up under."""
+    return F.when(tag(token).isin(*TAG_CLASSES["verb"]), "verb").otherwise("noun")
+
+
+def corpus_lexicon(df: DataFrame, tokens: str) -> DataFrame:
+    """``(token, lemma)`` of the distinct tokens of a corpus that are rewritten, each tagged once."""
+    return rewrites(lemma_lexicon(known_words(df, tokens)))
+
+
+def rewrites(lexicon: DataFrame) -> DataFrame:
+    """``(token, lemma)``: the entries of a lexicon under the class of their token that change it.
+
+    The tag of a token depends on the token alone, so it has one entry at most (of repeated ones, the greatest).
+    """
+    entries = lexicon.where((F.col("class") == word_class(F.col("token"))) & (F.col("lemma") != F.col("token")))
+    return entries.groupBy("token").agg(F.max("lemma").alias("lemma"))
+
+
+def clean_texts(
+    df: DataFrame,
+    column: str,
+    lexicon: DataFrame | None = None,
+    name: str = "clean_text",
+    stop_words: Sequence[str] = STOP_WORDS,
+    keep_source: bool = False,
+    max_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``df`` with the cleaned text to its end: stems, tagged and rewritten by a lexicon, joined by spaces.
+
+    ``lexicon`` is a table ``(token, class, lemma)``; without one, it is derived from the stems of the
+    texts themselves. A missing text counts as ``m`` and gives an empty string, like a text without words.
+    Texts are tokenised and stemmed once, into a checkpoint (without ``column`` unless ``keep_source``).
+    Every distinct stem of the corpus is tagged and looked up once; a row's stems are looked up once
+    each, and only those that change come back to it.
+    """
+    stems = clean_tokens(F.coalesce(F.col(column), F.lit("m")), stop_words)
+    source = df if keep_source else df.drop(column)
+    rows = checkpointed(
+        df.withColumns({"_stems": stems, "_row": F.monotonically_increasing_id()}).select("_row", "_stems", *source.columns)
+    )
+    changes = corpus_lexicon(rows, "_stems") if lexicon is None else rewrites(lexicon)
+    distinct = rows.select("_row", F.explode(F.array_distinct("_stems")).alias("token"))
+    hits = lookup_join(distinct, changes, ["token"], "inner", max_bytes, spread_by=["_row"])
+    per_row = hits.groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_lemmas")
+    )
+    found = lookup_join(rows, per_row, ["_row"], "left", max_bytes)
+    rewritten = F.transform("_stems", lambda x: F.coalesce(F.try_element_at("_lemmas", x), x))
+    words = F.when(F.col("_lemmas").isNull(), F.col("_stems")).otherwise(rewritten)
+    return found.withColumn(name, F.array_join(words, " ")).drop("_row", "_stems", "_lemmas")
+
+
 def lexicon_score(
     df: DataFrame, key: str, tokens: str, scores: DataFrame, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:

@@ -142,6 +142,26 @@ def sql_tag(w: str) -> str:
     )
 
 
+def _sql_rule(kind: str, ending: str, instead: str) -> str:
+    return (
+        f"SELECT token, '{kind}' AS class, left(token, length(token) - {len(ending)}) || '{instead}' AS lemma "
+        f"FROM vocabulary WHERE ends_with(token, '{ending}') AND length(token) > {len(ending) + 1}"
+    )
+
+
+def sql_lemmas(words: str) -> str:
+    """CTEs ``vocabulary(token)``, ``candidates`` and ``lemmas(token, class, lemma)`` from a query of the words."""
+    return f"""vocabulary AS ({words}),
+candidates AS ({' UNION '.join(_sql_rule(kind, *rule) for kind, rule in lexicon.DETACHMENT_RULES)}),
+lemmas AS (
+  SELECT token, class, lemma FROM candidates WHERE lemma IN (SELECT token FROM vocabulary)
+  QUALIFY row_number() OVER (PARTITION BY token, class ORDER BY length(lemma) DESC, lemma DESC) = 1)"""
+
+
+def sql_class(w: str) -> str:
+    return f"CASE WHEN ({sql_tag(w)}) IN ({sql_list(TAG_CLASSES['verb'])}) THEN 'verb' ELSE 'noun' END"
+
+
 # --- Normalisation ----------------------------------------------------------------
 
 
@@ -206,9 +226,13 @@ SQL_CLEAN = f"""{SQL_TOKENS},
 occurrences AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM toks),
 distinct_tokens AS (SELECT DISTINCT token FROM occurrences),
 {sql_stems('distinct_tokens')},
+{sql_lemmas("SELECT DISTINCT stem AS token FROM stems")},
+finished AS (
+  SELECT token, coalesce(l.lemma, stem) AS word FROM (SELECT token, stem, {sql_class('stem')} AS class FROM stems) s
+  LEFT JOIN (SELECT token AS stem, class, lemma FROM lemmas) l USING (stem, class)),
 cleaned AS (
-  SELECT t.doc_id, coalesce(string_agg(s.stem, ' ' ORDER BY o.pos), '') AS clean_text
-  FROM toks t LEFT JOIN occurrences o USING (doc_id) LEFT JOIN stems s USING (token) GROUP BY t.doc_id)"""
+  SELECT t.doc_id, coalesce(string_agg(f.word, ' ' ORDER BY o.pos), '') AS clean_text
+  FROM toks t LEFT JOIN occurrences o USING (doc_id) LEFT JOIN finished f USING (token) GROUP BY t.doc_id)"""
 
 
 def kept_tokens(spark, folder):
@@ -218,6 +242,11 @@ def kept_tokens(spark, folder):
     )
 
 
+def stemmed(spark, folder):
+    """``(doc_id, stems)``: the stems of all texts."""
+    return documents(spark, folder).select("doc_id", tokens.clean_tokens(F.col("text")).alias("stems"))
+
+
 @query(
     "tokenize",
     f"SELECT doc_id, array_to_string({sql_tokens(sql_normalized('text'))}, ' ') AS tokens FROM documents",
@@ -261,26 +290,13 @@ def _(spark, folder):
     return lexicon.tag_map(kept_tokens(spark, folder), "tokens")
 
 
-def _sql_rule(kind: str, ending: str, instead: str) -> str:
-    return (
-        f"SELECT token, '{kind}' AS class, left(token, length(token) - {len(ending)}) || '{instead}' AS lemma "
-        f"FROM vocabulary WHERE ends_with(token, '{ending}') AND length(token) > {len(ending) + 1}"
-    )
-
-
 @query(
     "rewrite_tokens",
     f"""
     WITH {SQL_TOKENS},
     occurrences AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM toks),
-    vocabulary AS (SELECT DISTINCT token FROM occurrences),
-    candidates AS ({' UNION '.join(_sql_rule(kind, *rule) for kind, rule in lexicon.DETACHMENT_RULES)}),
-    lemmas AS (
-      SELECT token, class, lemma FROM candidates WHERE lemma IN (SELECT token FROM vocabulary)
-      QUALIFY row_number() OVER (PARTITION BY token, class ORDER BY length(lemma) DESC, lemma DESC) = 1),
-    tagged AS (
-      SELECT *, CASE WHEN ({sql_tag('token')}) IN ({sql_list(TAG_CLASSES['verb'])}) THEN 'verb' ELSE 'noun' END AS class
-      FROM occurrences)
+    {sql_lemmas("SELECT DISTINCT token FROM occurrences")},
+    tagged AS (SELECT *, {sql_class('token')} AS class FROM occurrences)
     SELECT t.doc_id, coalesce(string_agg(coalesce(l.lemma, o.token), ' ' ORDER BY o.pos), '') AS lemmas
     FROM toks t LEFT JOIN tagged o USING (doc_id) LEFT JOIN lemmas l USING (token, class) GROUP BY t.doc_id
     """,
@@ -294,7 +310,7 @@ def _(spark, folder):
 
 @query("clean_text", f"WITH {SQL_CLEAN} SELECT doc_id, clean_text FROM cleaned")
 def _(spark, folder):
-    return documents(spark, folder).select("doc_id", tokens.clean_text(F.col("text")).alias("clean_text"))
+    return lexicon.clean_texts(documents(spark, folder).select("doc_id", "text"), "text")
 
 
 @query(
@@ -306,8 +322,10 @@ def _(spark, folder):
     """,
 )
 def _(spark, folder):
-    cleaned = tokens.clean_text(F.col("text")).alias("clean_text")
-    return text.preview(table(spark, folder, "documents"), "doc_id", "text", cleaned, rows=20)
+    lemmas = lexicon.lemma_lexicon(lexicon.known_words(stemmed(spark, folder), "stems"))
+    shown = text.preview(table(spark, folder, "documents"), "doc_id", "text", rows=20)
+    cleaned = lexicon.clean_texts(shown, "text", lemmas, keep_source=True)
+    return cleaned.select("doc_id", "text", "normalized", "clean_text")
 
 
 # --- Statistics -------------------------------------------------------------------
@@ -408,13 +426,12 @@ def _(spark, folder):
     """,
 )
 def _(spark, folder):
-    return rounded(text_features(documents(spark, folder), ["text", "source"], "text").drop("text", "source", "lang", "n_chars"))
+    return rounded(text_features(documents(spark, folder), ["text", "source"], "text").drop("source", "lang", "n_chars"))
 
 
 def text_features(df, columns, notes):
-    """Cleaned text, the statistics of ``columns`` and the tag counts of ``notes``."""
-    cleaned = df.withColumn("clean_text", tokens.clean_text(F.col(notes)))
-    return tag_counts(stats.with_text_stats(cleaned, columns), notes)
+    """Cleaned text, the statistics of ``columns`` and the tag counts of ``notes``, which goes."""
+    return lexicon.clean_texts(tag_counts(stats.with_text_stats(df, columns), notes), notes)
 
 
 @query(
