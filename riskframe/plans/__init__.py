@@ -6,7 +6,7 @@ from importlib import import_module
 
 from riskframe.plans import registry
 
-MODULES = ("relational", "texts", "judging", "models", "extras")
+MODULES = ("relational", "texts", "judging", "models", "linear", "extras")
 
 
 def _load() -> None:
