@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskframe.operators.rank import add_range_buckets, running_totals
+from riskframe.operators.rank import range_totals
 from riskframe.session import checkpointed
 
 
@@ -40,21 +40,13 @@ def curve_counts(
     label: str,
     score: str,
     by: Sequence[str] = (),
-    buckets: int | None = None,
+    parts: int | None = None,
     **sums: Column,
 ) -> DataFrame:
     """Score counts with ``tp`` and ``fp`` at the threshold ``score``, ``pos_all``, ``neg_all``."""
-    # Computed once: whatever produced the scores is not run again for the cut points.
+    # Computed once: whatever produced the scores is not run again for the ranges.
     counts = checkpointed(score_counts(df, label, score, by, **sums))
-    bucketed = add_range_buckets(counts, ["score"], ["_bucket"], buckets)
-    totals = running_totals(
-        bucketed,
-        {"tp": F.col("pos"), "fp": F.col("neg")},
-        "_bucket",
-        [F.col("score").desc()],
-        by,
-        descending=True,
-    )
+    totals = range_totals(counts, {"tp": F.col("pos"), "fp": F.col("neg")}, [F.col("score").desc()], by, parts)
     return totals.withColumnsRenamed({"tp_all": "pos_all", "fp_all": "neg_all"})
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from math import ceil, floor
 
-from pyspark.sql import DataFrame, functions as F
-
-from riskframe.operators.rank import add_range_buckets, running_totals
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def schema_by_type(df: DataFrame) -> DataFrame:
@@ -54,60 +55,101 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
     return some.unionByName(empty).groupBy("column").agg(F.sum("n").alias("distinct_values"))
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    shares: Sequence[float] = (0.25, 0.5, 0.75),
-    buckets: int | None = None,
-) -> DataFrame:
-    """``(column, q1, q2, ...)``: exact quantiles with linear interpolation.
+#: A double is ordered by its 64 bits, which are fixed ``DIGIT`` bits at a time.
+DIGIT = 16
 
-    Counts per distinct value, then running totals in range buckets: no task ever
-    holds all values of a column.
-    """
-    names = [f"_b{i}" for i in range(len(columns))]
-    bucketed = add_range_buckets(df.select(*columns), columns, names, buckets)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col(b).alias("bucket"),
-                F.col(c).cast("double").alias("value"),
+
+def order_bits(values: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles; both zeros are one value."""
+    bits = (values + 0.0).view(np.uint64)
+    sign = np.uint64(1) << np.uint64(63)
+    return np.where(bits & sign, ~bits, bits | sign)
+
+
+def double_of(bits: int) -> float:
+    sign = 1 << 63
+    raw = bits ^ sign if bits & sign else ~bits & (2 * sign - 1)
+    return float(np.array([raw], np.uint64).view(np.float64)[0])
+
+
+def _number(column: str) -> Column:
+    """The column as a double, with NaN as null."""
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _digit_counts(df: DataFrame, columns: Sequence[str], prefixes: Sequence[Sequence[int]], shift: int) -> DataFrame:
+    """``(column, prefix, digit, n)``: values with one of the column's ``prefixes``, by the digit that follows it."""
+    schema = pa.schema([("place", pa.int32()), ("prefix", pa.int32()), ("digit", pa.int32()), ("n", pa.int64())])
+    wanted = [np.array(sorted(p), np.uint64) for p in prefixes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for i, known in enumerate(wanted):
+                bits = order_bits(batch.column(i).drop_null().to_numpy(zero_copy_only=False))
+                # A shift by all 64 bits would be none.
+                top = bits >> np.uint64(shift + DIGIT) if shift + DIGIT < 64 else np.zeros_like(bits)
+                digit = ((bits >> np.uint64(shift)) & np.uint64((1 << DIGIT) - 1)).astype(np.int64)
+                for k, prefix in enumerate(known):
+                    found = np.bincount(digit[top == prefix], minlength=1 << DIGIT)
+                    counts[i, k] = counts[i, k] + found if (i, k) in counts else found
+        for (i, k), n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), x, np.int32)) for x in (i, k)] + [pa.array(at.astype(np.int32)), pa.array(n[at])],
+                schema=schema,
             )
-            for c, b in zip(columns, names)
-        ]
-    )
-    counts = (
-        bucketed.select(F.explode(cells).alias("_c"))
-        .select("_c.column", "_c.bucket", "_c.value")
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "bucket", "value")
-        .agg(F.count("*").alias("_rows"))
-    )
-    ranked = running_totals(
-        counts, {"_seen": F.col("_rows")}, "bucket", [F.col("value")], by=["column"]
-    )
 
-    def at(rank):
-        inside = (F.col("_seen") - F.col("_rows") <= rank) & (rank < F.col("_seen"))
-        return F.max(F.when(inside, F.col("value")))
-
-    last = F.col("_seen_all") - 1
-    picks = []
-    for i, share in enumerate(shares, start=1):
-        place = last * F.lit(float(share))
-        picks += [
-            at(F.floor(place)).alias(f"_low{i}"),
-            at(F.ceil(place)).alias(f"_high{i}"),
-            F.max(place - F.floor(place)).alias(f"_part{i}"),
+    numbers = df.select(*[_number(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    counted = numbers.mapInArrow(run, "place int, prefix int, digit int, n long")
+    return counted.groupBy("place", "prefix", "digit").agg(F.sum("n").alias("n"))
+
+
+def select_ranks(df: DataFrame, columns: Sequence[str], ranks: Sequence[Sequence[int]]) -> list[dict[int, float]]:
+    """For every column the values at the wanted ranks (from 0, nulls and NaN left out).
+
+    Each of four passes counts the values that agree with a wanted one so far by their next 16 bits,
+    which tells the next 16 bits of every wanted value. What is shuffled are counts, at most 2^16 per task and
+    wanted value, whatever the number of rows; a few numbers per wanted value reach the driver.
+    """
+    # Per column: rank -> (prefix, rank among the values of that prefix).
+    state = [{r: (0, r) for r in wanted} for wanted in ranks]
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        prefixes = [sorted({p for p, _ in s.values()}) for s in state]
+        counts = _digit_counts(df, columns, prefixes, shift)
+        upto = F.sum("n").over(Window.partitionBy("place", "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
+        asked = [
+            (i, prefixes[i].index(p), r, within) for i, s in enumerate(state) for r, (p, within) in s.items()
         ]
-    between = [
-        (
-            F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")
-        ).alias(f"q{i}")
-        for i in range(1, len(shares) + 1)
-    ]
-    return ranked.groupBy("column").agg(*picks).select("column", *between)
+        if not asked:
+            break
+        wanted = df.sparkSession.createDataFrame(asked, "place int, prefix int, rank long, within long")
+        hits = (
+            counts.withColumn("upto", upto)
+            .join(F.broadcast(wanted), ["place", "prefix"])
+            .where((F.col("within") < F.col("upto")) & (F.col("within") >= F.col("upto") - F.col("n")))
+            .select("place", "prefix", "rank", "digit", (F.col("within") - F.col("upto") + F.col("n")).alias("within"))
+        )
+        for r in hits.collect():
+            state[r["place"]][r["rank"]] = (prefixes[r["place"]][r["prefix"]] << DIGIT | r["digit"], r["within"])
+    return [{r: double_of(p) for r, (p, _) in s.items()} for s in state]
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.25, 0.5, 0.75)
+) -> DataFrame:
+    """``(column, q1, q2, ...)``: exact quantiles with linear interpolation, of the values that are neither null nor NaN."""
+    row = df.agg(*[F.count(_number(c)).alias(c) for c in columns]).first()
+    filled = [c for c in columns if row[c]]
+    places = [[float(s) * (row[c] - 1) for s in shares] for c in filled]
+    ranks = [sorted({r for p in at for r in (floor(p), ceil(p))}) for at in places]
+    found = []
+    for c, at, values in zip(filled, places, select_ranks(df, filled, ranks), strict=True):
+        low_high = [(values[floor(p)], values[ceil(p)], p - floor(p)) for p in at]
+        found.append((c, *[low + (high - low) * part for low, high, part in low_high]))
+    names = ", ".join(f"q{i} double" for i in range(1, len(shares) + 1))
+    return df.sparkSession.createDataFrame(found, f"column string, {names}")
 
 
 def sketched_quantiles(

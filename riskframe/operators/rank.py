@@ -2,24 +2,32 @@
 
 A window ordered over a whole table, or over one of two classes, sorts everything
 in one task. Here rows first fall into buckets that respect the wanted order.
-Bucket sums are small (groups x buckets rows); a running total over them gives
-each bucket its offset, and the window inside a bucket adds the rest. The big
-table is shuffled once, by (group, bucket), which the join with the offsets and
-the window share.
+Bucket sums are small; a running total over them gives each bucket its offset, and
+the totals inside a bucket add the rest.
+
+``range_totals`` lets Spark deal the rows by ranges of the order: a partition is a bucket.
+Rows move once, the totals inside a partition are summed as it is written, and only the
+offsets, one row per partition and group, are looked up afterwards. No cut points
+come to the driver, and the plan is the same for any number of rows.
+
+``running_totals`` takes buckets that are already there, such as digits of a hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from riskframe.operators.lookup import lookup_join
+from riskframe.session import checkpointed
 
 HASH_DIGITS = 3
-# Buckets follow the rows, without an upper limit; a sketch needs a multiple of them as accuracy.
+# Hash buckets follow the rows, without an upper limit.
 ROWS_PER_BUCKET = 20_000
-# Text keys: so many keys, the first by a hash, are drawn for every bucket to find its cut.
-DRAWN_PER_BUCKET = 20
 
 
 def hash_key(key: str | Column, seed: int) -> Column:
@@ -38,67 +46,70 @@ def wanted_buckets(df: DataFrame) -> int:
     return max(1, df.count() // ROWS_PER_BUCKET)
 
 
-def range_cuts(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[float]]:
-    """Ascending cut points per column, from one pass of mergeable sketches.
+def _inside(schema: StructType, names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds running totals of the ``_amount_`` columns, begun anew at every change of ``_group``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, dict.fromkeys(names, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column("_group").to_numpy()
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            lengths = np.diff(np.r_[starts, len(group)])
+            columns = []
+            for n in names:
+                total = np.cumsum(batch.column(f"_amount_{n}").to_numpy(zero_copy_only=False))
+                before = np.r_[np.zeros(1, total.dtype), total[starts[1:] - 1]]
+                if group[0] == last:
+                    before[0] = -carried[n]
+                total = total - np.repeat(before, lengths)
+                carried[n] = total[-1]
+                columns.append(pa.array(total))
+            last = group[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+
+    return run
+
+
+def range_totals(
+    df: DataFrame,
+    totals: Mapping[str, Column],
+    order: Sequence[Column],
+    by: Sequence[str] = (),
+    parts: int | None = None,
+) -> DataFrame:
+    """Add inclusive running totals in ``order`` within the groups of ``by``, whose columns may be null.
 
-    The cuts only balance the buckets; any cuts give the same totals.
+    ``totals`` maps a new column to the amount summed (null counts as 0). ``<name>_all`` is the total of the
+    whole group. Rows that ``order`` does not tell apart stay together, so it should tell all apart.
+    ``parts`` is the number of ranges; by default Spark chooses it.
     """
-    if buckets < 2:
-        return [[] for _ in columns]
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    accuracy = max(10_000, 10 * buckets)
-    row = df.agg(
-        *[
-            F.percentile_approx(F.col(c).cast("double"), shares, accuracy).alias(str(i))
-            for i, c in enumerate(columns)
-        ],
-    ).first()
-    return [sorted({v for v in row[str(i)] or [] if v == v}) for i in range(len(columns))]
-
-
-def text_cuts(df: DataFrame, column: str, buckets: int) -> list[str]:
-    """Ascending cut points of a text column, from keys drawn by their hash."""
-    if buckets < 2:
-        return []
-    digest = F.xxhash64(column)
-    keys = df.select(column).where(F.col(column).isNotNull())
-    drawn = keys.orderBy(digest).limit(DRAWN_PER_BUCKET * buckets).collect()
-    # Spark compares texts by their bytes.
-    ordered = sorted((r[0] for r in drawn), key=str.encode)
-    return sorted(set(ordered[DRAWN_PER_BUCKET::DRAWN_PER_BUCKET]), key=str.encode)
-
-
-def bucket_of(value: Column, cuts: Sequence[str]) -> Column:
-    """How many of the ascending ``cuts`` are at most ``value``, by nested halving; 0 for null."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value >= cuts[middle], search(middle + 1, high)).otherwise(search(low, middle))
-
-    return search(0, len(cuts))
-
-
-def add_range_buckets(
-    df: DataFrame, columns: Sequence[str], names: Sequence[str], buckets: int | None = None
-) -> DataFrame:
-    """Add an int bucket per column that grows with the column's value."""
-    cuts = range_cuts(df, columns, buckets or wanted_buckets(df))
-    if not any(cuts):
-        return df.withColumns({n: F.lit(0) for n in names})
-    inf = float("inf")
-    as_double = [f"_{n}_double" for n in names]
-    out = df.withColumns({d: F.col(c).cast("double") for d, c in zip(as_double, columns)})
-    bucketizer = Bucketizer(
-        inputCols=as_double,
-        outputCols=list(names),
-        # Every column needs an inner split.
-        splitsArray=[[-inf, *([v for v in c if abs(v) != inf] or [0.0]), inf] for c in cuts],
-        handleInvalid="keep",
+    names = list(totals)
+    whole = {n: dict(df.select(a.alias(n)).dtypes)[n] in ("tinyint", "smallint", "int", "bigint") for n, a in totals.items()}
+    keyed = df.withColumn("_group", F.xxhash64(F.to_json(F.struct(*by))) if by else F.lit(0).cast("long")).withColumns(
+        {f"_amount_{n}": F.coalesce(a.cast("long" if whole[n] else "double"), F.lit(0)) for n, a in totals.items()}
+    )
+    # Names of groups first: rows of one group follow each other.
+    places = ["_group", *order]
+    placed = keyed.repartitionByRange(parts, *places) if parts else keyed.repartitionByRange(*places)
+    placed = placed.sortWithinPartitions(*places).withColumn("_bucket", F.spark_partition_id())
+    schema = StructType([*placed.schema.fields])
+    for n in names:
+        schema.add(StructField(f"_inside_{n}", LongType() if whole[n] else DoubleType()))
+    rows = checkpointed(placed.mapInArrow(_inside(schema, names), schema))
+    sums = rows.groupBy("_group", "_bucket").agg(*[F.sum(f"_amount_{n}").alias(n) for n in names])
+    over_group = Window.partitionBy("_group")
+    before = over_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        "_group",
+        "_bucket",
+        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_offset_{n}") for n in names],
+        *[F.sum(n).over(over_group).alias(f"{n}_all") for n in names],
     )
-    out = bucketizer.transform(out).drop(*as_double)
-    return out.withColumns({n: F.col(n).cast("int") for n in names})
+    found = lookup_join(rows, offsets, ["_group", "_bucket"])
+    found = found.withColumns({n: F.col(f"_offset_{n}") + F.col(f"_inside_{n}") for n in names})
+    return found.select(*df.columns, *names, *[f"{n}_all" for n in names])
 
 
 def running_totals(
@@ -182,13 +193,12 @@ def hash_rank(
     )
 
 
-def key_rank(df: DataFrame, key: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Add ``rank`` (from 1) in key order, and ``rank_all`` (group size); numbers and texts."""
-    if dict(df.dtypes)[key] == "string":
-        cuts = text_cuts(df, key, buckets or wanted_buckets(df))
-        bucketed = df.withColumn("_bucket", bucket_of(F.col(key), cuts))
-    else:
-        bucketed = add_range_buckets(df, [key], ["_bucket"], buckets)
-    return running_totals(
-        bucketed, {"rank": F.lit(1).cast("long")}, "_bucket", [F.col(key)], by
-    )
+def key_rank(df: DataFrame, key: str, by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """Add ``rank`` (from 1) in key order, and ``rank_all`` (group size); numbers and texts.
+
+    Rows of one key are told apart by a number, so that any number of them spreads over tasks. It is
+    written first, for a repeated task must find the same one.
+    """
+    numbered = checkpointed(df.withColumn("_number", F.monotonically_increasing_id()))
+    one = F.lit(1).cast("long")
+    return range_totals(numbered, {"rank": one}, [F.col(key), F.col("_number")], by, parts).drop("_number")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from riskframe.functions.text import SPACE, strip_accents
 from riskframe.functions.wordlists import STOP_WORDS
 from riskframe.operators.lookup import lookup_join
-from riskframe.operators.rank import add_range_buckets, bucket_of, key_rank, running_totals, text_cuts, wanted_buckets
+from riskframe.operators.rank import key_rank, range_totals
 from riskframe.session import checkpointed
 
 TERM_PATTERN = r"([\p{L}\p{N}_]+)"
@@ -145,7 +145,7 @@ def vocabulary(
 
 
 def word_index(
-    df: DataFrame, tokens: str, min_count: int = 5, buckets: int | None = None
+    df: DataFrame, tokens: str, min_count: int = 5, parts: int | None = None
 ) -> tuple[DataFrame, int]:
     """``(term, tf, word_id)`` for all terms, ids from 1 by falling count, and the size.
 
@@ -153,25 +153,8 @@ def word_index(
     under this order are exactly the ids up to it.
     """
     stats = checkpointed(term_stats(df, tokens).select("term", "tf"))
-    # Most terms share a few small counts; these are cut further by cuts drawn from the terms.
-    rare = F.col("tf") <= 16
-    cuts = text_cuts(stats.where(rare), "term", buckets or wanted_buckets(stats))
-    spread = add_range_buckets(
-        stats.withColumn("_minus", -F.col("tf")), ["_minus"], ["_coarse"], buckets
-    ).withColumn(
-        "_bucket",
-        F.struct(
-            "_coarse",
-            F.when(rare, F.col("_minus")).alias("count"),
-            F.when(rare, bucket_of(F.col("term"), cuts)).alias("start"),
-        ),
-    )
-    ranked = running_totals(
-        spread.drop("_coarse"),
-        {"word_id": F.lit(1).cast("long")},
-        "_bucket",
-        [F.col("_minus"), F.col("term")],
-    )
+    one = F.lit(1).cast("long")
+    ranked = range_totals(stats, {"word_id": one}, [F.col("tf").desc(), F.col("term")], parts=parts)
     size = stats.filter(F.col("tf") >= min_count).count()
     return ranked.select("term", "tf", "word_id"), size
 

@@ -123,13 +123,8 @@ def test_soft_scores(five, spark):
     assert loss == pytest.approx(expected, abs=1e-5)
 
 
-def test_areas_do_not_depend_on_the_number_of_buckets(many, monkeypatch):
-    from riskframe.operators import rank
-
+def test_areas_do_not_depend_on_the_number_of_ranges(many):
     _, df = many
-    one = metrics.binary_metrics(df.withColumn("p", F.rint("score").cast("int")), "y", "p", "score", ["g"])
-    expected = {r["g"]: r.asDict() for r in one.collect()}
-    monkeypatch.setattr(rank, "ROWS_PER_BUCKET", 20)
-    split = metrics.binary_metrics(df.withColumn("p", F.rint("score").cast("int")), "y", "p", "score", ["g"])
-    for r in split.collect():
-        assert r.asDict() == pytest.approx(expected[r["g"]])
+    one = {(r["g"], r["score"]): (r["tp"], r["fp"]) for r in metrics.curve_counts(df, "y", "score", ["g"], parts=1).collect()}
+    split = metrics.curve_counts(df, "y", "score", ["g"], parts=9).collect()
+    assert {(r["g"], r["score"]): (r["tp"], r["fp"]) for r in split} == one

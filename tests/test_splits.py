@@ -101,29 +101,49 @@ def test_running_totals_equal_a_plain_window(spark):
     }
 
 
-def test_range_buckets_rise_with_the_value(spark):
-    df = spark.range(50_000).withColumn("v", F.when(F.col("id") < 20_000, -1.0).otherwise(F.col("id") * 1.5))
-    bounds = (
-        rank.add_range_buckets(df, ["v"], ["b"], buckets=64)
-        .groupBy("b").agg(F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect()
-    )
-    assert len(bounds) > 2
-    assert all(a["high"] < b["low"] for a, b in zip(bounds, bounds[1:]))
+@pytest.mark.parametrize("parts", [None, 1, 7])
+def test_range_totals_equal_a_plain_window(spark, parts):
+    rows = [(i, "ab"[i % 3 == 0], float((i * 37) % 101), i % 5 or None, i / 7) for i in range(400)]
+    rows += [(1000 + i, None, float(i % 11), 1, 0.5) for i in range(50)] + [(2000, "z", None, 3, 1.0)]
+    df = spark.createDataFrame(rows, "id long, g string, v double, w int, x double").repartition(5)
+    found = rank.range_totals(
+        df, {"total": F.col("w"), "share": F.col("x")}, [F.col("v").desc(), F.col("id")], ["g"], parts
+    ).collect()
+    assert len(found) == len(rows)
+    for g in ("a", "b", None, "z"):
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (-(r[2] if r[2] is not None else -1e9), r[0]))
+        seen, share, of = 0, 0.0, {r["id"]: r for r in found if r["g"] == g}
+        for r in own:
+            seen, share = seen + (r[3] or 0), share + r[4]
+            assert of[r[0]]["total"] == seen and of[r[0]]["share"] == pytest.approx(share)
+        assert {r["total_all"] for r in of.values()} == {seen}
+    assert rank.range_totals(df.limit(0), {"total": F.col("w")}, [F.col("id")]).count() == 0
+
+
+def test_rows_of_one_hot_key_spread_and_rank_once_each(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.lit(1).alias("y"))
+    ranked = rank.key_rank(df, "k", by=["y"], parts=6)
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 6001))
+    hot = [r["rank"] for r in ranked.where("k = 'hot'").collect()]
+    assert max(hot) - min(hot) == len(hot) - 1
+    sizes = [r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 2000
+
+
+def test_plan_does_not_grow_with_the_rows(spark):
+    def plan(n):
+        ranked = rank.key_rank(spark.range(n).select(F.col("id").cast("string").alias("k")), "k")
+        return len(ranked._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+
+    assert plan(1_000) == plan(1_000_000)
 
 
 def test_text_keys_rank_like_numbers(spark):
     df = spark.range(3000).select(F.format_string("Customer#%09d", F.col("id") * 7919 % 3000).alias("k"), (F.col("id") % 3).alias("y"))
-    for buckets in (1, 16):
-        rows = rank.key_rank(df, "k", by=["y"], buckets=buckets).collect()
+    for parts in (1, 16):
+        rows = rank.key_rank(df, "k", by=["y"], parts=parts).collect()
         for y in range(3):
             own = sorted(((r["k"], r["rank"]) for r in rows if r["y"] == y))
             assert [r for _, r in own] == list(range(1, len(own) + 1))
     folds = splits.stratified_folds(df, "y", "k")
     assert folds.count() == 3000 and folds.where("fold is null").count() == 0
-
-
-def test_text_cuts_balance_keys_with_one_prefix(spark):
-    df = spark.range(20_000).select(F.format_string("same-prefix-%06d", "id").alias("k"))
-    cuts = rank.text_cuts(df, "k", 16)
-    sizes = [r["count"] for r in df.groupBy(rank.bucket_of(F.col("k"), cuts).alias("b")).count().collect()]
-    assert len(sizes) > 10 and max(sizes) < 20_000 / 4

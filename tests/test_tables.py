@@ -93,6 +93,25 @@ def test_quantiles_across_many_buckets(spark):
     assert [row["q1"], row["q2"], row["q3"]] == pytest.approx(list(expected))
 
 
+def test_quantiles_of_far_negative_and_missing_values(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [-1e300, -2.5, -2.5, -0.0, 0.0, 1e-310, 3.0, 1e300, inf, -inf, 7.25]
+    rows = [(v, None, float(i) if i % 2 else None) for i, v in enumerate(values)] + [(nan, nan, nan), (None, None, None)]
+    df = spark.createDataFrame(rows, "v double, none double, w double").repartition(3)
+    ordered = sorted(values)
+    found = profile.select_ranks(df, ["v", "none", "w"], [range(len(values)), [], [0, 4]])
+    assert [found[0][r] for r in range(len(values))] == ordered
+    assert found[1] == {} and found[2] == {0: 1.0, 4: 9.0}
+    quantiles = {r["column"]: r for r in profile.exact_quantiles(df, ["none", "w"], (0.5, 1.0)).collect()}
+    assert set(quantiles) == {"w"} and (quantiles["w"]["q1"], quantiles["w"]["q2"]) == (5.0, 9.0)
+
+
+def test_quantiles_shuffle_counts_not_rows(spark):
+    many = spark.range(0, 200_000, 1, 4).select((F.col("id") % 1000).cast("double").alias("v"))
+    rows = profile._digit_counts(many, ["v"], [[0]], 48)
+    assert rows.count() < 200 and rows.agg(F.sum("n")).first()[0] == 200_000
+
+
 def test_the_cluster_folder_is_used(spark):
     assert shared_folder(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
 
