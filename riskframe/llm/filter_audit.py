@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.llm.common import UPPER, arrow_schema, as_bytes, map_batches
+from riskframe.session import checkpointed
 
 FILTERS = "ABCDE"
 MIN_WORDS = 100
@@ -87,6 +88,8 @@ def contingency(
     digest have the same bits.
     """
     copy_bit = 1 << (len(FILTERS) - 1)
+    # A few dozen bytes a document, so that texts are read once.
+    failures = checkpointed(failures)
     marks = labels.select(F.col(key).alias("key"), F.col(good).alias("good"), F.col(toxic).alias("toxic"))
     marks = marks.where(F.col("key").isNotNull()).groupBy("key").agg(_flag("good"), _flag("toxic"))
     marked = failures.where(F.col("key").isNotNull()).join(marks, "key", "left")
