@@ -35,6 +35,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +105,8 @@ class Encoder:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a, self.bytes_b = byte_level_tokens(path_a), piece_tokens(path_b)
-        self.size_a, self.size_b = (pa.array([len(t) for t in x], pa.int64()) for x in (self.bytes_a, self.bytes_b))
+        self.sizes = tuple(np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.size_a, self.size_b = map(pa.array, self.sizes)
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if not self.b.is_byte(i) and re.search(rf"[^{MARK}{LOOSE}][{MARK}\n]", piece):
@@ -115,33 +117,72 @@ class Encoder:
 
     def encode_chunks(self, chunks: list[str]) -> Iterator[tuple[bytes, bytes | None]]:
         """A letter before a chunk takes the space that B adds, and no piece joins it with the chunk."""
-        of_a = self.a.encode_batch_fast(chunks, add_special_tokens=False)
-        of_b = self.b.encode(["a" + c for c in chunks], num_threads=1)
-        for chunk, a, b in zip(chunks, of_a, of_b, strict=True):
-            raw = chunk.encode()
-            whole_a = b"".join(map(self.bytes_a.__getitem__, a.ids)) == raw
-            whole_b = b"".join(map(self.bytes_b.__getitem__, b)) == b" a" + raw
-            fits = whole_a and whole_b
-            yield np.array(a.ids, "<i4").tobytes(), np.array(b[1:], "<i4").tobytes() if fits else None
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Ids of A and B by text (32-bit); both empty where one side's bytes differ from the text's."""
-        split = [CHUNK.findall(" " + t) if t else [] for t in texts]
+        raw = [c.encode() for c in chunks]
+        of_a = Ids([x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)], self.bytes_a, self.sizes[0])
+        of_b = Ids(self.b.encode(["a" + c for c in chunks], num_threads=1), self.bytes_b, self.sizes[1])
+        fits = of_a.spell(raw) & of_b.spell([b" a" + x for x in raw])
+        for a, b, whole in zip(of_a.cut(0), of_b.cut(1), fits.tolist(), strict=True):
+            yield a, b if whole else None
+
+    def chunk_ids(self, chunks: list[str]) -> list[tuple[bytes, bytes | None]]:
+        """Ids of distinct chunks. All but long ones are remembered."""
         memory = self.memory
-        fresh = list(set().union(*split).difference(memory))
-        found = dict(zip(fresh, self.encode_chunks(fresh), strict=True)) if fresh else {}
-        long = {c: x for c, x in found.items() if len(c) > MEMORY_CHARS}
-        memory.update((c, x) for c, x in found.items() if len(c) <= MEMORY_CHARS)
-        out = []
-        for chunks in split:
-            ids = [memory[c] if c in memory else long[c] for c in chunks] if long else list(map(memory.__getitem__, chunks))
-            try:
-                out.append((b"".join([a for a, _ in ids]), b"".join([b for _, b in ids])))
-            except TypeError:  # a chunk that B does not cover
-                out.append((b"", b""))
         if len(memory) > MEMORY_CHUNKS:
             memory.clear()
-        return out
+        fresh = [c for c in chunks if c not in memory]
+        found = dict(zip(fresh, self.encode_chunks(fresh), strict=True)) if fresh else {}
+        memory.update((c, x) for c, x in found.items() if len(c) <= MEMORY_CHARS)
+        return [found[c] if c in found else memory[c] for c in chunks]
+
+    def encode(self, texts: list[str | None]) -> tuple[pa.ListArray, pa.ListArray]:
+        """Ids of A and of B by text; a text has none where the bytes of one side differ from its own."""
+        split = [CHUNK.findall(" " + t) if t else [] for t in texts]
+        counts = np.array([len(x) for x in split], np.int64)
+        coded = pa.array(chain.from_iterable(split), pa.string(), size=int(counts.sum())).dictionary_encode()
+        places, edges = coded.indices.to_numpy(), np.r_[0, np.cumsum(counts)]
+        ids = self.chunk_ids(coded.dictionary.to_pylist())
+        bad = np.flatnonzero(np.array([b is None for _, b in ids], bool)[places])
+        if len(bad):
+            keep = np.ones(len(split), bool)
+            keep[np.searchsorted(edges, bad, side="right") - 1] = False
+            places = places[np.repeat(keep, counts)]
+            edges = np.r_[0, np.cumsum(counts * keep)]
+        return tuple(joined([x[side] or b"" for x in ids], places, edges) for side in (0, 1))
+
+
+class Ids:
+    """Ids of a list of texts, in one array."""
+
+    def __init__(self, ids: list[list[int]], tokens: list[bytes], sizes: np.ndarray):
+        self.lengths = np.array([len(x) for x in ids], np.int64)
+        self.flat = np.fromiter(chain.from_iterable(ids), np.int32, int(self.lengths.sum()))
+        self.tokens, self.sizes = tokens, sizes
+
+    def spell(self, raw: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each text add up to its bytes."""
+        running = np.r_[0, np.cumsum(self.sizes[self.flat])]
+        ends = running[np.cumsum(self.lengths)]
+        spelled = b"".join(map(self.tokens.__getitem__, self.flat.tolist()))
+        if (np.diff(ends, prepend=0) == [len(x) for x in raw]).all() and spelled == b"".join(raw):
+            return np.ones(len(raw), bool)
+        cuts = np.r_[0, ends].tolist()
+        return np.array([spelled[a:b] == x for a, b, x in zip(cuts, cuts[1:], raw)], bool)
+
+    def cut(self, drop: int) -> Iterator[bytes]:
+        """The ids of each text without the first ``drop``, as 32-bit integers."""
+        raw, at = self.flat.tobytes(), 0
+        for n in (4 * self.lengths).tolist():
+            yield raw[at + 4 * drop : at + n]
+            at += n
+
+
+def joined(ids: list[bytes], places: np.ndarray, edges: np.ndarray) -> pa.ListArray:
+    """The ids at ``places``, in lists that end at ``edges``."""
+    sizes = np.array([len(x) // 4 for x in ids], np.int64)
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+    flat = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(ids), "<i4")).take(pa.array(places)).flatten()
+    ends = np.r_[0, np.cumsum(sizes[places])]
+    return pa.ListArray.from_arrays(pa.array(ends[edges], pa.int32()), flat)
 
 
 @functools.lru_cache(maxsize=2)
@@ -149,12 +190,6 @@ def encoder(path_a: str, path_b: str) -> Encoder:
     return Encoder(path_a, path_b)
 
 
-def id_lists(ids: list[bytes]) -> pa.ListArray:
-    offsets = np.cumsum([0, *(len(x) // 4 for x in ids)])
-    flat = np.frombuffer(b"".join(ids), "<i4")
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-
-
 def end_keys(lists: pa.ListArray, sizes: pa.Array) -> pa.Array:
     """One key per token: its document's place in the slice, and the byte at which it ends there."""
     flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists).cast(pa.int64())
@@ -246,8 +281,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_i
 
     def run(batch: pa.RecordBatch) -> dict:
         work = encoder(path_a, path_b)
-        ids = work.encode(batch.column("text").to_pylist())
-        found = align(id_lists([a for a, _ in ids]), id_lists([b for _, b in ids]), work)
+        found = align(*work.encode(batch.column("text").to_pylist()), work)
         digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found.groups]
         return {
             "key": batch.column("key"),

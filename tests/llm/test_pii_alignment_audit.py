@@ -185,8 +185,9 @@ def test_alignment_memory_emptied_and_empty_table(spark, monkeypatch):
     monkeypatch.setattr(alignment, "MEMORY_CHUNKS", 3)
     work = alignment.Encoder(BYTE_BPE, PIECE_BPE)
     texts = ["one two three four five", None, "six one", "x" * 100 + " one"]
-    again = [work.encode([t])[0] for t in texts]
-    assert again == alignment.Encoder(BYTE_BPE, PIECE_BPE).encode(texts)
+    again = [[side.to_pylist()[0] for side in work.encode([t])] for t in texts]
+    whole = alignment.Encoder(BYTE_BPE, PIECE_BPE).encode(texts)
+    assert again == [list(pair) for pair in zip(*(side.to_pylist() for side in whole))]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.report(alignment.align_documents(empty, BYTE_BPE, PIECE_BPE), PIECE_BPE).count() == 0
 
