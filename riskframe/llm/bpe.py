@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
 import struct
 
@@ -153,14 +154,16 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """Add ``decoded`` (binary) beside the columns of an encoded table; null ids count as none."""
-    rows = df.withColumn("_ids", F.coalesce(F.col(ids), F.lit(b"")))
+    # A name that no column of the caller's has.
+    read = next(n for n in (f"_ids_{i}" for i in itertools.count()) if n not in df.columns)
+    rows = df.withColumn(read, F.coalesce(F.col(ids), F.lit(b"")))
     names = [f.name for f in df.schema]
 
     def run(batch: pa.RecordBatch) -> dict:
         work = codec(path, pattern)
         out = {n: batch.column(n) for n in names}
-        out["decoded"] = [work.decode(x) for x in batch.column("_ids").to_pylist()]
+        out["decoded"] = [work.decode(x) for x in batch.column(read).to_pylist()]
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return map_batches(rows, run, f"{schema}, decoded binary", "_ids")
+    return map_batches(rows, run, f"{schema}, decoded binary", read)
