@@ -30,13 +30,14 @@ text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import ASCII_LOWER, WORD, arrow_schema, as_bytes, map_batches
+from riskframe.llm.common import ASCII_LOWER, WORD, arrow_schema, as_bytes, map_batches, slices
 from riskframe.session import checkpointed, scratch_path
 
 WORDS = 5
@@ -55,7 +56,7 @@ BLOCK = 512
 FILTER_BITS = 1 << 26
 #: Shingles compared at a time when a block's links are confirmed.
 COLUMNS = 4096
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 
 _random = np.random.default_rng(5)
 _XOR = _random.integers(0, 1 << 63, SKETCH, np.uint64)
@@ -305,25 +306,25 @@ def cross_pairs(sets: DataFrame, parts: DataFrame) -> DataFrame:
     return by_task(dealt, compare, ["set", "part", "n", "sketch"])
 
 
-def filter_bits(text_hash: np.ndarray) -> np.ndarray:
-    """Three bit positions per text hash (rows)."""
-    h = mixed(text_hash.view(np.uint64))
+def filter_bits(mark: np.ndarray) -> np.ndarray:
+    """Three bit positions per mark (rows)."""
+    h = mixed(mark.view(np.uint64))
     return np.stack([(h >> np.uint64(shift)) % np.uint64(FILTER_BITS) for shift in (0, 19, 38)], 1).astype(np.int64)
 
 
 def wanted_filter(wanted: DataFrame) -> np.ndarray:
-    """The bits of all wanted text hashes, put together by Spark; FILTER_BITS of them at any size."""
+    """The bits of all wanted marks, put together by Spark; FILTER_BITS of them at any size."""
     schema = arrow_schema("word long, bits long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = filter_bits(batch.column("text_hash").to_numpy()).ravel()
+            at = filter_bits(batch.column("mark").to_numpy()).ravel()
             words, inverse = np.unique(at >> 6, return_inverse=True)
             out = np.zeros(len(words), np.uint64)
             np.bitwise_or.at(out, inverse, np.uint64(1) << (at & 63).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(out.view(np.int64))], schema=schema)
 
-    found = wanted.select("text_hash").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = wanted.select("mark").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     found = found.toArrow()
     out = np.zeros(FILTER_BITS // 64, np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
@@ -333,27 +334,32 @@ def wanted_filter(wanted: DataFrame) -> np.ndarray:
 def fetch_sets(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """``(set, shingles)`` of ``wanted`` sets, from the texts of ``docs`` found by id and text hash.
 
-    A filter of the wanted hashes keeps most other texts from being shuffled.
+    A filter of the wanted rows' marks, hashes of both, keeps most other texts from being read into
+    shingles; what is joined by id and text hash is a set, not a text.
     """
-    wanted = written(wanted.select("set", F.col("key").alias("_key"), "text_hash"), "wanted")
+    mark = F.xxhash64("_key", "text_hash").alias("mark")
+    wanted = wanted.select("set", F.col("key").alias("_key"), "text_hash")
+    wanted = written(wanted.select("*", mark), "wanted")
     shared = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
-    texts = docs.select(F.col(key).alias("_own"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
+    texts = docs.select(F.col(key).alias("_key"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
+    texts = texts.select("_key", "text_hash", mark, "text")
+    ddl = f"_key {texts.schema['_key'].dataType.simpleString()}, text_hash long, shingles binary"
+    target = arrow_schema(ddl)
 
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = filter_bits(batch.column("text_hash").to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            at = filter_bits(batch.column("mark").to_numpy())
             there = ((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
-            yield batch.filter(pa.array(there))
-
-    texts = texts.mapInArrow(maybe, texts.schema)
-    same = F.col("_own").eqNullSafe(F.col("_key")) & (F.col("texts.text_hash") == F.col("wanted.text_hash"))
-    found = texts.alias("texts").join(wanted.alias("wanted"), same).select("set", "text")
-
-    def run(batch: pa.RecordBatch) -> dict:
-        return {"set": batch.column("set"), "shingles": [shingles(t).tobytes() for t in as_bytes(batch.column("text"))]}
-
+            batch = batch.filter(pa.array(there))
+            found = [shingles(t).tobytes() for t in as_bytes(batch.column("text"))]
+            columns = [batch.column("_key"), batch.column("text_hash"), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=target)
+
+    read = texts.mapInArrow(run, ddl).alias("read")
+    same = F.col("read._key").eqNullSafe(F.col("wanted._key")) & (F.col("read.text_hash") == F.col("wanted.text_hash"))
+    found = read.join(wanted.alias("wanted"), same).select("set", "shingles")
     # Repeated rows bring one set several times.
-    return map_batches(found, run, "set long, shingles binary").groupBy("set").agg(F.min("shingles").alias("shingles"))
+    return found.groupBy("set").agg(F.min("shingles").alias("shingles"))
 
 
 def links(sets: list[np.ndarray]) -> np.ndarray:
@@ -459,14 +465,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     kept = near_duplicates(docs, key).where("kept and n_shingles > 0")
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
-    marked = docs.withColumn("_kept_by_hash", F.xxhash64("text"))
-    picked = kept.select(F.col(key).alias("_kept_id"), "text_hash").alias("kept")
-    same = F.col(f"docs.`{key}`").eqNullSafe(F.col("kept._kept_id")) & (F.col("_kept_by_hash") == F.col("kept.text_hash"))
+    # A name that no column of the caller's has.
+    mark = next(n for n in (f"_text_hash_{i}" for i in count()) if n not in docs.columns)
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    picked = kept.select(F.col(key).alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).alias("kept")
+    same = F.col(f"docs.`{key}`").eqNullSafe(F.col("kept._kept_id")) & (F.col(f"docs.`{mark}`") == F.col("kept._kept_hash"))
     one = (
         marked.where(~wordless)
         .alias("docs")
         .join(picked, same, "left_semi")
-        .dropDuplicates([key, "_kept_by_hash"])
-        .drop("_kept_by_hash")
+        .dropDuplicates([key, mark])
+        .drop(mark)
     )
     return docs.where(wordless).unionByName(one)
