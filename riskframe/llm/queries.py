@@ -11,7 +11,7 @@ from riskframe.llm import (
     filter_audit,
     fingerprint,
     langid,
-    lm,
+    lm_corpus,
     minhash,
     packing,
     pii,
@@ -102,8 +102,8 @@ def op9_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
 def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     remainder = id_remainder("doc_id", 7)
-    model, counts = lm.learn(docs, (remainder != 2) & F.col("doc_id").isNotNull())
-    return lm.score(docs, model, counts).withColumn("held_out", remainder == 2)
+    scored = lm_corpus.score_corpus(docs, (remainder != 2) & F.col("doc_id").isNotNull())
+    return scored.withColumn("held_out", remainder == 2)
 
 
 def op11_pii(spark: SparkSession, folder: str) -> DataFrame:

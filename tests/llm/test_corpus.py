@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.llm import fingerprint, lm, minhash, urlfilter
+from riskframe.llm import fingerprint, lm, lm_corpus, minhash, urlfilter
 from riskframe.llm.queries import LISTED_LABELS, ORACLES, QUERIES, URL_RULES
 
 SF = "/root/testdata/sf0.01"
@@ -282,6 +282,46 @@ def test_scores_against_exact_counts(spark):
     check_scores(rows, table, [k for k, _ in table if zlib.crc32(str(k).encode()) % 7 != 2])
 
 
+def test_packed_numbers_come_back():
+    draw = np.random.default_rng(2)
+    for size in (0, 1, 500):
+        hashes = np.unique(draw.integers(0, 1 << 64, size, np.uint64))
+        assert (lm_corpus.unpacked_sorted(lm_corpus.packed_sorted(hashes)) == hashes).all()
+        edges = lm_corpus.shard_edges(hashes, 7)
+        assert edges[0] == 0 and edges[-1] == len(hashes) and (np.diff(edges) >= 0).all() and len(edges) == 8
+        # A shard's part can be packed by itself.
+        part = hashes[edges[3] : edges[4]]
+        assert (lm_corpus.unpacked_sorted(lm_corpus.packed_sorted(part)) == part).all()
+
+
+@pytest.mark.parametrize("block_bytes, shard_tokens", [(1 << 24, 1 << 21), (200, 40)])
+def test_corpus_scores_by_blocks_and_shards(spark, block_bytes, shard_tokens):
+    draw = random.Random(3)
+    table = [(i, f"the the cat {i % 9} sat\non THE mat {draw.random()}") for i in range(120)]
+    table += [(120, None), (121, ""), (122, "the " * 20_000)]
+    rows = [(k, t, "x", "y", 1.0) for k, t in table]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, block string, score double").repartition(4)
+    found = lm_corpus.score_corpus(df, F.col("doc_id") % 5 > 0, block_bytes=block_bytes, shard_tokens=shard_tokens).collect()
+    assert len(found) == len(table)
+    check_scores(found, table, [k for k, _ in table if k % 5])
+    model, counts = lm.learn(df, F.col("doc_id") % 5 > 0)
+    want = {r.doc_id: r.score for r in lm.score(df, model, counts).collect()}
+    # The same levels but for false positives, which differ with the filter's layout.
+    gap = [abs(r.score - want[r.doc_id]) / r.n_tokens for r in found]
+    assert np.mean(gap) < 0.02
+    base = {r.doc_id: r.base_score for r in lm.score(df, model, counts).collect()}
+    assert all(r.base_score == pytest.approx(base[r.doc_id]) for r in found)
+
+
+def test_corpus_scores_of_odd_rows(spark):
+    repeated = spark.createDataFrame([(None, "cat"), (None, "cat"), (1, "qq")], "doc_id string, text string")
+    out = lm_corpus.score_corpus(repeated, F.col("doc_id").isNull()).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known) for r in out) == [("1", 2, 1), ("None", 2, 2), ("None", 2, 2)]
+    assert lm_corpus.score_corpus(repeated.limit(0), F.lit(True)).count() == 0
+    row = lm_corpus.score_corpus(repeated.where("doc_id = 1"), F.lit(None).cast("boolean")).first()
+    assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (2, 0, 0, 0.0, 0.0)
+
+
 def test_scores_with_a_join_for_rare_words(spark, monkeypatch):
     # A large share leaves most words to the join and most bigrams to the smoothing.
     monkeypatch.setattr(lm, "HEAD_SHARE", 0.05)
