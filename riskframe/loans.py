@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.functions import encode, stats, text, tokens
 from riskframe.functions.wordlists import TAG_CLASSES
-from riskframe.operators import classify, lexicon, metrics, prep, profile, splits, vocab
+from riskframe.operators import classify, lexicon, linear, metrics, profile, splits, vocab
 from riskframe.session import checkpointed
 from riskframe.sources import sinks, tables
 
@@ -74,10 +74,10 @@ def bag_of_words(
 ) -> DataFrame:
     """``(Id, is_bad, part, model columns, bag)``: the 0/1 vector of frequent n-grams."""
     terms = features.withColumn("_terms", vocab.bow_tokens(F.coalesce("clean_text", F.lit("m"))))
-    grams = vocab.with_ngrams(terms, "_terms", "_grams")
-    known = vocab.vocabulary(
-        grams.filter(F.col("part").isin(*fit_on)), "_grams", min_df=min_df, max_features=max_features
+    known = vocab.ngram_vocabulary(
+        terms.filter(F.col("part").isin(*fit_on)), "_terms", min_df=min_df, max_features=max_features
     )
+    grams = vocab.with_ngrams(terms, "_terms", "_grams")
     bag = vocab.bow_vectorizer(checkpointed(known), "_grams", "bag")
     return bag.transform(grams).select(KEY, TARGET, "part", *MODEL_COLUMNS, "bag")
 
@@ -105,9 +105,12 @@ def run(
     leaky: bool = False,
     max_features: int = 10_000,
     multi_line: bool = True,
+    penalise_intercept: bool = True,
 ) -> Judged:
     """Read ``csv``, write every stage under the folder ``out`` and return the results.
 
+    The fold models are fitted in the same scans. Without ``penalise_intercept`` the intercept is free.
+
     The CSV is parsed for its types and once more; all stages read the Parquet copy. Without
     ``multi_line`` a file is read in splits (its texts then hold no line breaks).
     """
@@ -126,20 +129,18 @@ def run(
     rows = spark.read.parquet(f"{out}/model_table")
     train = rows.filter(F.col("part") == "train")
 
-    def fit(part: DataFrame):
-        return classify.fit_logistic(part, TARGET, C=C, weights=weights)
-
+    width = linear.width_of(rows, MODEL_COLUMNS, "bag")
+    options = {"C": C, "weights": weights, "penalise_intercept": penalise_intercept}
     in_folds = checkpointed(splits.stratified_folds(train, TARGET, KEY, folds))
     sinks.write_ground_truth(in_folds, f"{out}/fold_ground_truth", KEY, TARGET, by="fold")
-    out_of_fold, _ = classify.cross_validate(
-        in_folds, TARGET, [KEY], MODEL_COLUMNS, fit, bag="bag", folds=folds, leaky=leaky
-    )
-    out_of_fold = checkpointed(out_of_fold)
-
-    model = prep.fit_features(train, MODEL_COLUMNS, "bag")
-    prepared = checkpointed(model.transform(rows).select(KEY, TARGET, "part", "features"))
-    fitted = fit(prepared.filter(F.col("part") == "train"))
-    scores = checkpointed(classify.scored(fitted, prepared, [KEY, TARGET, "part"]))
+    held = linear.raw_rows(in_folds, TARGET, MODEL_COLUMNS, "bag", "fold", [KEY])
+    fold_models = linear.fit_folds(held, width, folds, leaky, **options)
+    out_of_fold = checkpointed(linear.out_of_fold(held, fold_models, [KEY], TARGET))
+
+    every = linear.raw_rows(rows, TARGET, MODEL_COLUMNS, "bag", keep=[KEY, "part"])
+    fit_on = every.filter(F.col("part") == "train")
+    model = linear.fit_linear(fit_on, linear.fit_scaling(fit_on, width), **options)
+    scores = checkpointed(linear.score(every, model, [KEY, "part"], TARGET))
     judged = metrics.binary_metrics(scores, TARGET, "prediction", "score", ["part"])
     sinks.write_metrics(judged, f"{out}/metrics")
     sinks.write_predictions(scores, f"{out}/predictions", KEY, TARGET)

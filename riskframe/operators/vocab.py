@@ -9,6 +9,7 @@ documents holds a term.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -139,9 +140,86 @@ def vocabulary(
     stats = term_stats(df, terms).filter(F.col("df") >= min_df)
     if max_df is not None:
         stats = stats.filter(F.col("df") <= max_df * df.count())
+    return top_vocabulary(stats, max_features)
+
+
+#: Bits of the map that says which parts are frequent; a fixed size, and a full map merely prunes less.
+MAP_BITS = 1 << 24
+
+
+def _place(term: Column) -> tuple[Column, Column]:
+    """Word and bit of a term in the map."""
+    h = F.pmod(F.xxhash64(term), F.lit(MAP_BITS))
+    return F.shiftright(h, 6).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+
+
+def frequent_map(stats: DataFrame) -> DataFrame:
+    """One row ``(_one, _map)``: the terms of ``stats`` as a map of bits, 64 of them to a number."""
+    word, bit = _place(F.col("term"))
+    words = stats.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
+    some = words.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    every = stats.sparkSession.range(MAP_BITS // 64).select(F.col("id").cast("int").alias("word"))
+    full = every.join(some, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    pairs = F.array_sort(F.collect_list(F.struct("word", "bits")))
+    return full.agg(F.transform(pairs, lambda p: p["bits"]).alias("_map")).withColumn("_one", F.lit(1))
+
+
+def _in_map(grams: str) -> Column:
+    def there(gram: Column) -> Column:
+        word, bit = _place(gram)
+        return F.getbit(F.get("_map", word), bit) == 1
+
+    return F.transform(grams, there)
+
+
+def frequent_terms(
+    df: DataFrame, tokens: str, high: int = 3, min_df: int = 5, separator: str = " "
+) -> DataFrame:
+    """``(term, tf, df)`` of all 1- to ``high``-grams that at least ``min_df`` rows hold.
+
+    Length by length: an n-gram can be frequent only where both its (n-1)-grams are. Those are marked in
+    a bit map, which is broadcast, and only n-grams of marked parts are exploded and counted. The map has
+    one size at any scale; two terms that share a bit cost a needless count, never a term.
+    """
+    stats = term_stats(df, tokens).filter(F.col("df") >= min_df)
+    if high == 1:
+        return stats
+    found = [checkpointed(stats)]
+    grams = df.select(F.col(tokens).alias("_tokens"), F.col(tokens).alias("_grams"))
+    for n in range(2, high + 1):
+        marks = F.broadcast(frequent_map(found[-1]))
+        # The one row of the map goes to every task.
+        marked = grams.withColumn("_one", F.lit(1)).join(marks, "_one").withColumn("_there", _in_map("_grams"))
+        count = F.greatest(F.size("_tokens") - (n - 1), F.lit(0))
+        parts = F.arrays_zip(
+            F.slice("_grams", F.lit(1), count).alias("gram"),
+            F.slice("_tokens", F.lit(n), count).alias("token"),
+            F.slice("_there", F.lit(1), count).alias("first"),
+            F.slice("_there", F.lit(2), count).alias("second"),
+        )
+        wanted = F.transform(
+            parts, lambda p: F.when(p["first"] & p["second"], F.concat(p["gram"], F.lit(separator), p["token"]))
+        )
+        counted = marked.select(F.array_compact(wanted).alias("_wanted"))
+        found.append(checkpointed(term_stats(counted, "_wanted").filter(F.col("df") >= min_df)))
+        grams = grams.withColumn("_grams", _longer(F.col("_grams"), F.col("_tokens"), n, separator))
+    return reduce(DataFrame.unionByName, found)
+
+
+def top_vocabulary(stats: DataFrame, max_features: int = 10_000) -> DataFrame:
+    """``(term, tf, df, term_id)``: the most frequent terms of ``stats``, ids from 0 in term order.
+
+    Equal counts are cut in term order. There are at most ``max_features`` rows, so numbering them is small work.
+    """
     top = stats.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
-    by_term = Window.partitionBy().orderBy("term")
-    return top.withColumn("term_id", (F.row_number().over(by_term) - 1).cast("long"))
+    return top.withColumn("term_id", (F.row_number().over(Window.partitionBy().orderBy("term")) - 1).cast("long"))
+
+
+def ngram_vocabulary(
+    df: DataFrame, tokens: str, high: int = 3, min_df: int = 5, max_features: int = 10_000
+) -> DataFrame:
+    """The vocabulary of the 1- to ``high``-grams of ``tokens``: the same rows as ``vocabulary`` of all n-grams."""
+    return top_vocabulary(frequent_terms(df, tokens, high, min_df), max_features)
 
 
 def word_index(

@@ -509,12 +509,12 @@ def _(spark, folder):
     "HAVING df >= 5",
 )
 def _(spark, folder):
-    return vocab.term_stats(gram_frame(spark, folder), "grams").filter(F.col("df") >= 5)
+    return vocab.frequent_terms(bow_frame(spark, folder), "terms")
 
 
 @query("vocab_topk", f"WITH {SQL_GRAMS}, {sql_vocabulary('grams', 'v')} SELECT * FROM v")
 def _(spark, folder):
-    return vocab.vocabulary(gram_frame(spark, folder), "grams", min_df=5)
+    return vocab.ngram_vocabulary(bow_frame(spark, folder), "terms")
 
 
 @query(
@@ -529,8 +529,7 @@ def _(spark, folder):
 def _(spark, folder):
     parts = splits.train_val_test_split(targets(spark, folder), "is_bad", "doc_id")
     fit_on = parts.filter(F.col("part").isin("train", "val"))
-    grams = gram_frame(spark, folder).join(fit_on, "doc_id", "left_semi")
-    return vocab.vocabulary(grams, "grams", min_df=5)
+    return vocab.ngram_vocabulary(bow_frame(spark, folder).join(fit_on, "doc_id", "left_semi"), "terms")
 
 
 SQL_BOW_COUNTS = f"""{SQL_GRAMS}, {sql_vocabulary('grams', 'v')},
@@ -539,14 +538,14 @@ bow_counts AS (SELECT doc_id, term_id, count(*) AS tf FROM grams JOIN v USING (t
 
 @query("bow_counts", f"WITH {SQL_BOW_COUNTS} SELECT * FROM bow_counts")
 def _(spark, folder):
-    grams = gram_frame(spark, folder)
-    return vocab.bow_counts(grams, "doc_id", "grams", vocab.vocabulary(grams, "grams", min_df=5))
+    known = vocab.ngram_vocabulary(bow_frame(spark, folder), "terms")
+    return vocab.bow_counts(gram_frame(spark, folder), "doc_id", "grams", known)
 
 
 @query("bow_binary", f"WITH {SQL_BOW_COUNTS} SELECT doc_id, term_id, 1 AS present FROM bow_counts")
 def _(spark, folder):
-    grams = gram_frame(spark, folder)
-    return vocab.bow_binary(grams, "doc_id", "grams", vocab.vocabulary(grams, "grams", min_df=5))
+    known = vocab.ngram_vocabulary(bow_frame(spark, folder), "terms")
+    return vocab.bow_binary(gram_frame(spark, folder), "doc_id", "grams", known)
 
 
 def sql_tfidf(source: str, vocabulary: str, tf: str) -> str:
