@@ -284,6 +284,20 @@ def tfidf(
     return weighted.select(key, "term", "term_id", (F.col("_weight") / norm).alias("tfidf"))
 
 
+def stacked(key: str, blocks: Sequence[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+    """Long form ``(key, block, feature_id, value)`` of several blocks of features side by side.
+
+    A block is its name, its cells ``(key, term_id, value)`` and its vocabulary, whose size is the offset of
+    the blocks after it. Cells stay sparse, and nothing is shuffled for the union.
+    """
+    offset, parts = 0, []
+    for name, cells, known in blocks:
+        feature = (F.col("term_id") + offset).alias("feature_id")
+        parts.append(cells.select(key, F.lit(name).alias("block"), feature, F.col("value").cast("double").alias("value")))
+        offset += known.count()
+    return reduce(DataFrame.unionByName, parts)
+
+
 def char_terms(c: Column) -> Column:
     """Lower-cased characters without accents, runs of white space as one space."""
     return F.regexp_replace(strip_accents(F.lower(c)), f"[{SPACE}]{{2,}}", " ")

@@ -564,10 +564,10 @@ terms AS (SELECT doc_id, unnest(t) AS term FROM bow),
 {sql_tfidf('terms', 'v', 'tf_')}"""
 
 
-def tfidf_words(spark, folder):
-    """The word weights topic models start from, and their vocabulary."""
+def tfidf_words(spark, folder, n_features=1000):
+    """The word weights topic models start from, and their vocabulary of at most ``n_features`` terms."""
     terms = bow_frame(spark, folder)
-    known = checkpointed(vocab.vocabulary(terms, "terms", min_df=2, max_df=0.95, max_features=1000))
+    known = checkpointed(vocab.vocabulary(terms, "terms", min_df=2, max_df=0.95, max_features=n_features))
     return vocab.tfidf(terms, "doc_id", "terms", known), known
 
 
@@ -586,6 +586,14 @@ grams AS ({' UNION ALL '.join(
     + " || ".join(f"c[i + {k}]" if k else "c[i]" for k in range(n)) + ")) AS term FROM chars" for n in range(2, 7))})"""
 
 
+def char_block(spark, folder):
+    """The weights of 2- to 6-character n-grams, and their vocabulary."""
+    chars = documents(spark, folder).select("doc_id", F.split(vocab.char_terms(F.col("text")), "").alias("chars"))
+    grams = vocab.with_ngrams(chars, "chars", "grams", 2, 6, separator="").select("doc_id", "grams")
+    known = checkpointed(vocab.vocabulary(grams, "grams", max_features=6000))
+    return vocab.tfidf(grams, "doc_id", "grams", known, sublinear=True), known
+
+
 @query(
     "char_ngrams",
     f"""
@@ -595,12 +603,47 @@ grams AS ({' UNION ALL '.join(
     """,
 )
 def _(spark, folder):
-    chars = documents(spark, folder).select("doc_id", F.split(vocab.char_terms(F.col("text")), "").alias("chars"))
-    grams = vocab.with_ngrams(chars, "chars", "grams", 2, 6, separator="").select("doc_id", "grams")
-    known = checkpointed(vocab.vocabulary(grams, "grams", max_features=6000))
-    weights = vocab.tfidf(grams, "doc_id", "grams", known, sublinear=True)
+    weights, _ = char_block(spark, folder)
     return weights.groupBy("doc_id").agg(
         F.count("*").alias("n_terms"),
         F.round(F.sum("tfidf"), 4).alias("weight_sum"),
         F.round(F.max("tfidf"), 6).alias("weight_max"),
     )
+
+
+SQL_CHAR_WORD = f"""
+{SQL_GRAMS.replace('grams AS (', 'word_grams AS (')}, {sql_vocabulary('word_grams', 'word_v')},
+bow_counts AS (SELECT doc_id, term_id FROM word_grams JOIN word_v USING (term) GROUP BY doc_id, term_id),
+{SQL_CHARS}, {sql_vocabulary('grams', 'v', 'true', 6000)}, {sql_tfidf('grams', 'v', '(1 + ln(tf_))')},
+cells AS (
+  SELECT doc_id, 'char' AS block, term_id AS feature_id, tfidf AS value FROM tfidf
+  UNION ALL SELECT doc_id, 'word', term_id + (SELECT count(*) FROM v), 1.0::DOUBLE FROM bow_counts)"""
+
+
+@query(
+    "char_word_features",
+    f"""
+    WITH {SQL_CHAR_WORD}
+    SELECT doc_id, block, count(*) AS n_features, round(sum(value), 4) AS value_sum, min(feature_id) AS first_feature,
+      max(feature_id) AS last_feature
+    FROM cells GROUP BY doc_id, block
+    """,
+)
+def _(spark, folder):
+    # The word block stands right of the character block: 0/1 of the frequent 1- to 3-grams.
+    weights, chars = char_block(spark, folder)
+    known = checkpointed(vocab.ngram_vocabulary(bow_frame(spark, folder), "terms"))
+    words = vocab.bow_binary(gram_frame(spark, folder), "doc_id", "grams", known)
+    cells = vocab.stacked(
+        "doc_id",
+        [
+            ("char", weights.withColumnRenamed("tfidf", "value"), chars),
+            ("word", words.withColumnRenamed("present", "value"), known),
+        ],
+    )
+    return cells.groupBy("doc_id", "block").agg(
+        F.count("*").alias("n_features"),
+        F.round(F.sum("value"), 4).alias("value_sum"),
+        F.min("feature_id").alias("first_feature"),
+        F.max("feature_id").alias("last_feature"),
+    )

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from collections import Counter
 from math import log, sqrt
 
@@ -142,3 +144,26 @@ def test_document_pooling(spark, docs):
     assert {k for k, r in found.items() if r["max_pool"] is None} == set(found) - {1, 2, 4, 5}
     assert found[1]["max_pool"] == [1.0, 4.0]
     assert found[1]["mean_pool"] == pytest.approx([2 / 3, 0.0])
+
+
+def test_pruned_vocabulary_equals_counting_all_ngrams(spark, monkeypatch):
+    draw = random.Random(4)
+    words = ["a", "b", "c", "dd", "ee", "f g"]
+    rows = [(i, [draw.choice(words[: 1 + i % 6]) for _ in range(draw.randrange(12))]) for i in range(80)] + [(90, []), (91, None)]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    # A small map lets terms share bits, which costs counts, not terms.
+    for bits in (vocab.MAP_BITS, 64):
+        monkeypatch.setattr(vocab, "MAP_BITS", bits)
+        for high, min_df in ((1, 2), (2, 3), (3, 4), (3, 30)):
+            whole = vocab.term_stats(vocab.with_ngrams(df, "t", "g", 1, high), "g").filter(F.col("df") >= min_df)
+            found = vocab.frequent_terms(df, "t", high, min_df)
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+    assert vocab.ngram_vocabulary(df, "t", max_features=7).count() == 7
+
+
+def test_blocks_of_features_stand_side_by_side(spark):
+    first = spark.createDataFrame([(1, 0, 0.5), (1, 2, 0.25)], "id int, term_id long, value double")
+    second = spark.createDataFrame([(1, 0, 1), (2, 1, 1)], "id int, term_id long, value int")
+    known = [spark.range(n) for n in (3, 2)]
+    cells = vocab.stacked("id", [("a", first, known[0]), ("b", second, known[1])]).collect()
+    assert sorted(map(tuple, cells)) == [(1, "a", 0, 0.5), (1, "a", 2, 0.25), (1, "b", 3, 1.0), (2, "b", 4, 1.0)]
