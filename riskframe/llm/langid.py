@@ -61,9 +61,10 @@ def _count(rows: DataFrame, names: str, of: str) -> DataFrame:
         size = 0
 
         def out() -> pa.RecordBatch:
-            langs = [lang for lang, c in counts.items() for _ in c]
-            keys = [k for c in counts.values() for k in c]
-            values = [v for c in counts.values() for v in c.values()]
+            # Words are read as ``predict`` reads them; keys that become one are added up by Spark.
+            plain = letters_of if of == "texts" else str
+            rows = [(lang, key, v) for lang, c in counts.items() for k, v in c.items() if (key := plain(k))]
+            langs, keys, values = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(keys, pa.string()), pa.array(values, pa.int64())],
                 names=["lang", "key", "n"],
@@ -150,21 +151,29 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.width = max(1, len(model.langs))
         self.at: dict[str, int] = {}
-        self.vectors: list[np.ndarray] = []
+        # Vectors by place; grown by doubling. NaN for a word without letters.
+        self.table = np.zeros((1024, self.width))
+
+    def remember(self, words: set[str]) -> None:
+        if len(self.at) + len(words) > len(self.table):
+            grown = np.zeros((2 * (len(self.at) + len(words)), self.width))
+            grown[: len(self.at)] = self.table[: len(self.at)]
+            self.table = grown
+        for word in words:
+            letters = letters_of(word)
+            self.table[len(self.at)] = self.model.vector(letters) if letters else np.nan
+            self.at[word] = len(self.at)
 
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Sums per text and language, and how many words each text has."""
-        width = max(1, len(self.model.langs))
         if len(self.at) > MEMORY_WORDS:
-            self.at, self.vectors = {}, []
+            self.at = {}
         words = [words_of(t) for t in texts]
-        for word in set().union(*words).difference(self.at):
-            letters = letters_of(word)
-            self.at[word] = len(self.vectors)
-            self.vectors.append(self.model.vector(letters) if letters else np.full(width, np.nan, np.float32))
-        table = np.array(self.vectors, np.float64).reshape(-1, width)
-        sums, sizes = np.zeros((len(texts), width)), np.zeros(len(texts), np.int64)
+        self.remember(set().union(*words).difference(self.at))
+        table = self.table
+        sums, sizes = np.zeros((len(texts), self.width)), np.zeros(len(texts), np.int64)
         for i, w in enumerate(words):
             if w:
                 v = table[np.fromiter(map(self.at.__getitem__, w), np.int64, len(w))]
