@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import csv
 import json
+import random
 from pathlib import Path
 
 import pandas as pd
@@ -127,3 +129,41 @@ def test_nan_counts_as_missing_in_profiles(spark):
     assert [row[n] for n in names] == pytest.approx([truth[t] for t in names.values()])
     rough = profile.describe_numeric(df, ["v"], approximate=True).first()
     assert rough["count"] == 4 and rough["min"] <= rough["q1"] <= rough["q2"] <= rough["q3"] <= rough["max"]
+
+
+def test_csv_with_line_breaks_is_read_in_splits(spark, tmp_path):
+    draw = random.Random(9)
+    cells = ["", "a", "two words", "line\nbreak", 'quo"te', '"\n"', "comma, here", "\n\n", "é\n漢", "x" * 300 + "\n" + "y" * 300, "NA", "12"]
+    path = tmp_path / "many.csv"
+    rows = [[str(i), *(draw.choice(cells) for _ in range(3))] for i in range(400)]
+    for name, part in (("a.csv", rows[:250]), ("b.csv", rows[250:])):
+        path.mkdir(exist_ok=True)
+        with open(path / name, "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator="\n")
+            out.writerow(["id", "a b", "c", "d.e"])
+            out.writerows(part)
+    whole = spark.read.options(**tables.QUOTES).option("multiLine", True).csv(str(path))
+    want = sorted(tuple(None if c in tables.NA_TOKENS else c for c in r) for r in whole.collect())
+    bytes_ = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("97", "1000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            schema = tables.T.StructType([tables.T.StructField(n, tables.T.StringType()) for n in ("id", "a b", "c", "d.e")])
+            found = sorted(tuple(r) for r in tables.read_csv(spark, str(path), schema).collect())
+            assert [tuple(str(x) for x in r) for r in found] == [tuple(str(x) for x in r) for r in want]
+            tasks = spark.read.text(str(path)).rdd.getNumPartitions()
+            assert tasks > 100 if size == "97" else tasks >= 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
+def test_csv_of_a_header_alone_and_windows_line_ends(spark, tmp_path):
+    path = tmp_path / "few.csv"
+    path.write_bytes(b'"i\nd",b\r\n')
+    assert tables.read_csv(spark, str(path)).columns == ["i\nd", "b"] and tables.read_csv(spark, str(path)).count() == 0
+    path = tmp_path / "windows.csv"
+    path.write_bytes(b'id,b\r\n1,"x\r\ny"\r\n\r\n2,z\r\n')
+    assert sorted(map(tuple, tables.read_csv(spark, str(path)).collect())) == [(1, "x\ny"), (2, "z")]
