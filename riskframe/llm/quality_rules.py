@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import Sparse, as_bytes, labelled_sample, map_batches, sigmoid
+from riskframe.llm.common import Sparse, as_bytes, filter_batches, labelled_sample, map_batches, sigmoid
 
 FIT_ROWS = 4000
 BUCKETS = 1 << 16
@@ -207,13 +207,12 @@ def filter_documents(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM
     """The rows of ``docs`` that the rules keep, with their own columns; nulls count as no words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("boolean")
-    def kept(text: pa.Array) -> pa.Array:
+    def keep(texts: list[bytes]) -> list[bool]:
         out = []
-        for t in as_bytes(text):
+        for t in texts:
             n_words, _, _, _, repeated = rule_counts(t)
             sound = n_words >= MIN_WORDS and 100 * repeated <= MAX_REPEATED_PERCENT * n_words
             out.append(sound and bool(shared.value.score([t])[0] >= keep_from))
-        return pa.array(out, pa.bool_())
+        return out
 
-    return docs.where(kept("text"))
+    return filter_batches(docs, keep)

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 def test_pipeline_is_registered():
     queries = __spark_entry__.queries()
     assert queries["pipeline"] is corpus_pipeline.run
-    assert sum(name.startswith("op") for name in queries) == 10
+    assert sum(name.startswith("op") for name in queries) == 13
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
