@@ -106,10 +106,12 @@ def run(
     max_features: int = 10_000,
     multi_line: bool = True,
     penalise_intercept: bool = True,
+    tol: float = 1e-4,
 ) -> Judged:
     """Read ``csv``, write every stage under the folder ``out`` and return the results.
 
-    The fold models are fitted in the same scans. Without ``penalise_intercept`` the intercept is free.
+    The fold models are fitted in the same scans. Without ``penalise_intercept`` the intercept is free;
+    ``tol`` is the share of its first value to which the gradient must fall.
 
     The CSV is parsed for its types and once more; all stages read the Parquet copy. Without
     ``multi_line`` a file is read in splits (its texts then hold no line breaks).
@@ -130,7 +132,7 @@ def run(
     train = rows.filter(F.col("part") == "train")
 
     width = linear.width_of(rows, MODEL_COLUMNS, "bag")
-    options = {"C": C, "weights": weights, "penalise_intercept": penalise_intercept}
+    options = {"C": C, "weights": weights, "penalise_intercept": penalise_intercept, "tol": tol}
     in_folds = checkpointed(splits.stratified_folds(train, TARGET, KEY, folds))
     sinks.write_ground_truth(in_folds, f"{out}/fold_ground_truth", KEY, TARGET, by="fold")
     held = linear.raw_rows(in_folds, TARGET, MODEL_COLUMNS, "bag", "fold", [KEY])
