@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,6 +23,28 @@ LOWER = bytes(range(97, 123))
 ASCII_LOWER = bytes.maketrans(UPPER, LOWER)
 
 
+_memory: dict[object, object] = {}
+
+
+def release() -> None:
+    """Give back to the system what Arrow and the C library keep of freed memory; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def worker_memory(name: object, make: Callable):
+    """What one operator remembers in a worker, made by ``make``. Another operator's is dropped first.
+
+    Workers outlive stages; without this a pipeline would gather the memories of all its stages.
+    """
+    if name not in _memory:
+        _memory.clear()
+        _memory[name] = make()
+    return _memory[name]
+
+
 def id_remainder(key: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; -1 for a null key."""
     key = F.col(key) if isinstance(key, str) else key
@@ -47,6 +70,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
         starts = np.flatnonzero(np.r_[True, np.diff(group) > 0])
         for a, b in zip(starts, np.r_[starts[1:], len(sizes)], strict=True):
             yield batch.slice(a, b - a)
+    release()
 
 
 def arrow_schema(schema: str) -> pa.Schema:
@@ -73,6 +97,16 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose texts ``keep`` keeps, whole, a slice of an Arrow batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(keep(as_bytes(batch.column(text))), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, target: str, limit: int, eligible: Column | None = None
 ) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import ASCII_LOWER, WORD, arrow_schema, as_bytes, map_batches, slices
+from riskframe.llm.common import ASCII_LOWER, WORD, arrow_schema, as_bytes, map_batches, release, slices, worker_memory
 from riskframe.session import checkpointed, scratch_path
 
 WORDS = 5
@@ -56,13 +56,12 @@ BLOCK = 512
 FILTER_BITS = 1 << 26
 #: Shingles compared at a time when a block's links are confirmed.
 COLUMNS = 4096
-MEMORY_WORDS = 200_000
+MEMORY_WORDS = 100_000
 
 _random = np.random.default_rng(5)
 _XOR = _random.integers(0, 1 << 63, SKETCH, np.uint64)
 _ODD = _random.integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -74,11 +73,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def shingles(text: bytes) -> np.ndarray:
     """The distinct shingles of a whole text, as ascending 64-bit hashes."""
     words = text.translate(ASCII_LOWER).split()
-    if len(_words) > MEMORY_WORDS:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = worker_memory("shingles", dict)
+    if len(known) > MEMORY_WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     size = min(WORDS, len(h))
     if not size:
         return h
@@ -266,6 +266,7 @@ def by_task(df: DataFrame, function, columns: list[str]) -> DataFrame:
             held.append(batch)
         if held:
             yield out(pa.Table.from_batches(held))
+        release()
 
     rows = df.select("task", *columns).repartition("task").sortWithinPartitions("task", "set")
     return rows.mapInArrow(run, "a long, b long").distinct()

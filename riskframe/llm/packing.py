@@ -22,7 +22,6 @@ gives no pieces. Only the id and text columns are read.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from collections.abc import Iterator
@@ -34,13 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from riskframe.llm.common import arrow_schema, map_batches
+from riskframe.llm.common import arrow_schema, map_batches, worker_memory
 from riskframe.operators.rank import running_totals
 from riskframe.session import checkpointed, scratch_path
 
 WINDOW = 2048
 END_ID = 1
-MEMORY_CHARS, MEMORY_WORDS = 40, 300_000
+MEMORY_CHARS, MEMORY_WORDS = 40, 150_000
 JOINED_WORDS = 2000
 #: Letters that neither case nor normal form changes beyond themselves, then ASCII marks: two pre-tokens, or one.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
@@ -157,9 +156,8 @@ class WordEncoder:
         ]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, end_id: int) -> WordEncoder:
-    return WordEncoder(path, end_id, special=True)
+    return worker_memory(("packing", path, end_id), lambda: WordEncoder(path, end_id, special=True))
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_id") -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import LETTERS, Sparse, labelled_sample, map_batches, sigmoid
+from riskframe.llm.common import LETTERS, Sparse, filter_batches, labelled_sample, map_batches, sigmoid
 
 FIT_ROWS = 8000
 BUCKETS = 1 << 19
@@ -38,7 +38,7 @@ MARKER_SHARE = 0.9
 #: Toxic from this probability of grade 1 or more (the penalty draws probabilities down).
 TOXIC_FROM = 0.2
 PENALTY = 0.027
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 150_000
 
 
 def words_of(text: str | None) -> set[str]:
@@ -200,10 +200,9 @@ def filter_documents(docs: DataFrame, model: Model, toxic_from: float = TOXIC_FR
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held: list[Scorer] = []
 
-    @F.arrow_udf("boolean")
-    def clean(text: pa.Array) -> pa.Array:
+    def clean(texts: list[bytes]) -> list[bool]:
         if not held:
             held.append(Scorer(shared.value))
-        return pa.array(held[0](text.to_pylist())[:, 0] < toxic_from)
+        return (held[0](t.decode() for t in texts)[:, 0] < toxic_from).tolist()
 
-    return docs.where(clean("text"))
+    return filter_batches(docs, clean)
