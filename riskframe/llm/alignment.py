@@ -49,7 +49,7 @@ from riskframe.llm.common import arrow_schema, map_batches
 from riskframe.session import scratch_path
 
 #: A space may follow these without ending a chunk: white space by any definition.
-LOOSE = r"\s᠎​﻿"
+LOOSE = r"\s\u180e\u200b\ufeff"
 CHUNK = re.compile(rf"[ \n]*[^ \n]+(?:(?<=[{LOOSE}])[ \n]+[^ \n]*)*|[ \n]+")
 MARK = chr(0x2581)
 #: Chunks longer than this are encoded but not remembered; the memory is emptied when full.
