@@ -39,7 +39,7 @@ from riskframe.llm.lm import (
 )
 from riskframe.session import scratch_path
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Tokens of the corpus for every shard.
 SHARD_TOKENS = 1 << 21
 
