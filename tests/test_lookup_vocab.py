@@ -167,3 +167,33 @@ def test_blocks_of_features_stand_side_by_side(spark):
     known = [spark.range(n) for n in (3, 2)]
     cells = vocab.stacked("id", [("a", first, known[0]), ("b", second, known[1])]).collect()
     assert sorted(map(tuple, cells)) == [(1, "a", 0, 0.5), (1, "a", 2, 0.25), (1, "b", 3, 1.0), (2, "b", 4, 1.0)]
+
+
+def test_grams_are_looked_up_as_they_are_counted(spark, monkeypatch):
+    draw = random.Random(5)
+    words = ["a", "b", "c", "dd", "f g"]
+    rows = [(i % 37, [draw.choice(words) for _ in range(draw.randrange(9))]) for i in range(50)] + [(None, ["a", "b"]), (None, ["b"]), (99, None)]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    listed = vocab.with_ngrams(df, "t", "g").select("id", "g")
+    known = vocab.vocabulary(listed, "g", min_df=3)
+    weights = known.select("term", "term_id", "df")
+    ways = []
+    for limit in (vocab.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(vocab, "BROADCAST_BYTES", limit)
+        ways += [vocab.bow_counts(df, "id", "t", known, high=3), vocab.bow_counts(listed, "id", "g", known)]
+        tfidf = vocab.tfidf(df, "id", "t", weights, True, high=3).select("id", "term", F.round("tfidf", 9))
+        ways.append(tfidf)
+    found = [sorted(map(tuple, w.collect()), key=repr) for w in ways]
+    assert found[0] == found[1] == found[3] == found[4] and found[2] == found[5] and found[0] and found[2]
+
+
+def test_vocabulary_of_characters_equals_counting_all(spark):
+    draw = random.Random(6)
+    rows = [(i, "".join(draw.choice("aab \U0001f600é") for _ in range(draw.randrange(30)))) for i in range(60)] + [(98, ""), (99, None)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    chars = df.select("id", F.split("t", "").alias("t"))
+    every = vocab.with_ngrams(chars, "t", "g", 2, 6, separator="")
+    for size in (5, 40, 300, 10**6):
+        whole = vocab.top_vocabulary(vocab.term_stats(every, "g"), size)
+        found = vocab.ngram_vocabulary(df, "t", 6, 1, size, low=2, separator="")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
