@@ -197,3 +197,20 @@ def test_vocabulary_of_characters_equals_counting_all(spark):
         whole = vocab.top_vocabulary(vocab.term_stats(every, "g"), size)
         found = vocab.ngram_vocabulary(df, "t", 6, 1, size, low=2, separator="")
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_cleaned_texts_do_not_depend_on_blocks(spark, monkeypatch):
+    from riskframe.functions.tokens import clean_text
+    from riskframe.operators import lexicon
+
+    rows = [(i, f"Running loans paid {i} times, the {w}'s payments running", [w]) for i, w in enumerate(["bank", "lender", "house"] * 9)]
+    df = spark.createDataFrame([*rows, (None, None, None), (98, "", []), (98, "of the", ["x"])], "id int, text string, more array<string>")
+    nothing = spark.createDataFrame([], "token string, class string, lemma string")
+    plain = sorted(map(tuple, df.select("id", "more", clean_text(F.col("text"))).collect()), key=repr)
+    assert sorted(map(tuple, lexicon.clean_texts(df, "text", nothing).collect()), key=repr) == plain
+    stems = sorted({w for r in plain for w in r[2].split()})
+    found = lexicon.known_stems(df.selectExpr("split(lower(regexp_replace(text, '[^A-Za-z]+', ' ')), ' ') AS t"), "t")
+    assert {s for s in stems if s.isalpha()} <= {r["token"] for r in found.collect()}
+    changed = lexicon.clean_texts(df.select("text"), "text", spark.createDataFrame([("bank", "noun", "shore")], nothing.schema))
+    assert changed.columns == ["clean_text"]
+    assert sum("shore" in r[0].split() for r in changed.collect()) == sum("bank" in r[2].split() for r in plain) == 9
