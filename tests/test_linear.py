@@ -121,3 +121,16 @@ def test_rows_without_label_empty_tables_and_far_values(spark):
     empty = linear.raw_rows(df.limit(0), "y", ["a"], keep=["id"])
     model = linear.fit_linear(empty, linear.fit_scaling(empty, 1))
     assert model.weights.tolist() == [[0.0]] and linear.score(empty, model, ["id"], "y").count() == 0
+
+
+def test_packed_rows_give_the_same_model(spark):
+    draw = np.random.default_rng(8)
+    rows = [(None if i % 9 == 0 else int(i % 3 == 0), i % 4, float(draw.normal()), None if i % 5 == 0 else 1.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "y int, fold int, a double, b double").repartition(5)
+    raw = linear.raw_rows(df, "y", ["a", "b"], fold="fold")
+    blocks = linear.packed(raw)
+    assert linear.packed(blocks) is blocks and blocks.rdd.getNumPartitions() == 1
+    one, other = (linear.fit_folds(x, 2, 4, weights="balanced", penalise_intercept=False) for x in (raw, blocks))
+    assert np.allclose(one.weights, other.weights) and np.allclose(one.intercepts, other.intercepts)
+    counts = [sum(r[0] == label and r[1] != 2 for r in rows) for label in (0, 1)]
+    assert np.allclose(linear.class_weights(blocks, "balanced", 4)[2], [sum(counts) / (2 * c) for c in counts])
