@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import Sparse, as_bytes, filter_batches, labelled_sample, map_batches, sigmoid
+from riskframe.llm.common import Sparse, as_bytes, filter_batches, labelled_sample, map_batches, release, sigmoid
 
 FIT_ROWS = 4000
 BUCKETS = 1 << 16
@@ -165,8 +165,14 @@ def fit(sample: DataFrame, penalty: float = 1e-5, steps: int = 60) -> Model:
         at = np.flatnonzero(mask)
         return Sparse([columns[i] for i in at], [values[i] for i in at], 2 * BUCKETS)
 
-    w, b = _logistic(part(~held), y[~held], penalty, steps)
-    slope, offset = _calibrate(part(held).dot(w) + b, y[held])
+    fitted, checked = part(~held), part(held)
+    # The driver keeps one copy of the sample while it fits, and none after it.
+    del rows, columns, values
+    release()
+    w, b = _logistic(fitted, y[~held], penalty, steps)
+    slope, offset = _calibrate(checked.dot(w) + b, y[held])
+    del fitted, checked
+    release()
     return Model(w.astype(np.float32), b, slope, offset)
 
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import LETTERS, Sparse, filter_batches, labelled_sample, map_batches, sigmoid
+from riskframe.llm.common import LETTERS, Sparse, filter_batches, labelled_sample, map_batches, release, sigmoid
 
 FIT_ROWS = 8000
 BUCKETS = 1 << 19
@@ -139,11 +139,15 @@ def fit(sample: DataFrame) -> Model:
         [np.frombuffer(v, np.float32) for v in rows["counts"].to_pylist()],
         BUCKETS,
     )
+    del rows
+    release()
     # Columns of one or two documents of the sample are noise.
     frequent = np.bincount(x.columns, minlength=BUCKETS) >= MIN_DOCS
     x.values = np.where(frequent[x.columns], x.values, 0).astype(np.float32)
     # Noise falls with the root of the sample's size, and so does the penalty against it.
     w, t = fit_ordinal(x, grades(x, toxic), penalty=PENALTY / np.sqrt(len(toxic)))
+    del x
+    release()
     return Model(w.astype(np.float32), tuple(map(float, t)))
 
 
