@@ -35,7 +35,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from riskframe.llm.common import ASCII_LOWER, WORD, arrow_schema, as_bytes, map_batches, release, slices, worker_memory
 from riskframe.session import checkpointed, scratch_path
@@ -405,12 +405,23 @@ def confirmed(docs: DataFrame, sets: DataFrame, groups: DataFrame, key: str = "d
     return by_task(dealt.join(whole, "set"), compare, ["set", "shingles"])
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer ``(a, b)`` that join the same sets: each set and its lesser neighbours are tied to the least of them."""
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    marked = edges.select(high.alias("a"), low.alias("b")).withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    ties = F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b"))))
+    return marked.select(ties.alias("tie")).select("tie.a", "tie.b").where("a != b").distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``(set, part)`` of every set with an edge; ``part`` is the least set it reaches.
 
-    Each step takes the least part among a set and its neighbours and then the part of that part,
-    until nothing changes; the number of steps grows with the logarithm of the longest path.
+    The edges are thinned first: members of a large group have many neighbours in common, and what is left of
+    it is little more than one edge a set, most of them to its least one. Then each step takes the least part among a set
+    and its neighbours and then the part of that part, until nothing changes; the number of steps grows with the
+    logarithm of the longest path.
     """
+    edges = checkpointed(thinned(thinned(edges)))
     both = checkpointed(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("set", "other").distinct())
     parts = checkpointed(both.groupBy("set").agg(F.min("other").alias("least")).select("set", F.least("set", "least").alias("part")))
     while True:
@@ -429,10 +440,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, n_shingles, component_id, kept, text_hash)`` of every row of ``docs``."""
     described = written(describe_sets(docs, key).withColumn("row", F.monotonically_increasing_id()), "described")
     sets = distinct_sets(described)
-    near = checkpointed(star_pairs(sets))
-    more = checkpointed(cross_pairs(sets, connected(near)))
-    groups = connected(near.union(more))
-    parts = connected(checkpointed(confirmed(docs, sets, groups, key)))
+    near = connected(star_pairs(sets))
+    more = cross_pairs(sets, near)
+    groups = connected(near.where("set != part").toDF("a", "b").union(more))
+    parts = connected(confirmed(docs, sets, groups, key))
     whole = sets.join(parts, "set", "left").select("digest", F.coalesce("part", "set").alias("part"), "key", "set")
     least = whole.groupBy("part").agg(
         F.min(F.struct(F.col("key").isNull().alias("none"), "key", "set")).alias("least")

@@ -128,6 +128,23 @@ def test_connected_on_long_paths(spark):
     }
 
 
+def test_connected_keeps_about_one_edge_a_set(spark, monkeypatch):
+    # Sets 10..129 all touch the same ten; 200 and 201 only each other.
+    edges = [(i, c) for i in range(10, 130) for c in range(10)] + [(201, 200)]
+    kept = []
+    checkpointed = minhash.checkpointed
+
+    def counted(df):
+        out = checkpointed(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "checkpointed", counted)
+    parts = minhash.connected(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.set: r.part for r in parts} == {**{i: 0 for i in range(130)}, 200: 200, 201: 200}
+    assert max(kept) <= 2 * len(parts)
+
+
 # --- fingerprints ------------------------------------------------------------------------------
 
 
