@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -111,15 +112,43 @@ class Model:
     row: dict[tuple[int, str], int]
     table: np.ndarray  # rows x languages; an extra last row of zeros says nothing
 
+    @cached_property
+    def families(self) -> tuple[dict[str, int], dict[str, int]]:
+        """Rows by word and by n-gram, whose length tells its family."""
+        words = {k: i for (f, k), i in self.row.items() if f == 0}
+        return words, {k: i for (f, k), i in self.row.items() if f}
+
+    def rows_of(self, words: list[str]) -> tuple[list[int], np.ndarray]:
+        """The rows whose mean is the vector of a word, word after word, and how many each has."""
+        known, grams = self.families
+        rows, sizes = [], np.ones(len(words), np.int64)
+        for i, word in enumerate(words):
+            at = known.get(word)
+            if at is not None:
+                rows.append(at)
+                continue
+            for n in GRAMS:
+                found = [at for g in grams_of(word, n) if (at := grams.get(g)) is not None]
+                if found:
+                    rows += found
+                    sizes[i] = len(found)
+                    break
+            else:
+                rows.append(len(self.table) - 1)
+        return rows, sizes
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """One row per word; the means of as many rows are taken at once."""
+        rows, sizes = self.rows_of(words)
+        rows, starts = np.array(rows, np.int64), np.cumsum(sizes) - sizes
+        out = np.zeros((len(words), self.table.shape[1]), self.table.dtype)
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            out[at] = self.table[rows[starts[at][:, None] + np.arange(n)]].mean(1)
+        return out
+
     def vector(self, word: str) -> np.ndarray:
-        at = self.row.get((0, word))
-        if at is not None:
-            return self.table[at]
-        for n in GRAMS:
-            found = [self.row[n, g] for g in grams_of(word, n) if (n, g) in self.row]
-            if found:
-                return self.table[found].mean(0)
-        return self.table[-1]
+        return self.vectors([word])[0]
 
 
 def learn(docs: DataFrame, eligible: Column | None = None, share: float = MIN_SHARE) -> Model:
@@ -161,10 +190,12 @@ class Scorer:
             grown = np.zeros((2 * (len(self.at) + len(words)), self.width))
             grown[: len(self.at)] = self.table[: len(self.at)]
             self.table = grown
-        for word in words:
-            letters = letters_of(word)
-            self.table[len(self.at)] = self.model.vector(letters) if letters else np.nan
-            self.at[word] = len(self.at)
+        new, letters = list(words), list(map(letters_of, words))
+        first = len(self.at)
+        vectors = self.model.vectors(letters).astype(float)
+        vectors[[not w for w in letters]] = np.nan
+        self.table[first : first + len(new)] = vectors
+        self.at.update(zip(new, range(first, first + len(new)), strict=True))
 
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Sums per text and language, and how many words each text has."""

@@ -215,6 +215,18 @@ def test_language_backs_off_to_shorter_grams():
     assert model.vector("qq").tolist() == [0, 0]
 
 
+def test_vectors_of_words_are_taken_together():
+    grams = ["abc", "bcd", "cde", "the", "z"]
+    rows = {(len(g), g): i for i, g in enumerate(grams)} | {(0, "abc"): 5}
+    table = np.random.default_rng(3).normal(size=(7, 4)).astype(np.float32)
+    table[-1] = 0
+    model = langid.Model(list("abcd"), rows, table)
+    want = {"abc": [5], "abcd": [0, 1], "xabcde": [0, 1, 2], "zz": [4, 4], "q": [6], "other": [3]}
+    found = model.vectors(list(want))
+    assert found.tolist() == [table[r].mean(0).tolist() for r in want.values()]
+    assert model.vectors([]).shape == (0, 4)
+
+
 def test_language_on_odd_rows(spark):
     learn = spark.createDataFrame([("the cat", "en"), ("le chat", "fr"), (None, "fr"), ("x", None)], "text string, lang string")
     model = langid.learn(learn)
