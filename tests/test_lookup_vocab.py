@@ -146,6 +146,26 @@ def test_document_pooling(spark, docs):
     assert found[1]["mean_pool"] == pytest.approx([2 / 3, 0.0])
 
 
+def test_document_pooling_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK_CELLS", 40)
+    draw = random.Random(7)
+    rows = [(i % 60, [f"w{draw.randrange(30)}" for _ in range(draw.randrange(9))]) for i in range(90)]
+    df = spark.createDataFrame([*rows, (None, ["w1"]), (70, None), (71, ["none"])], "id int, t array<string>")
+    table = [(f"w{i}", [draw.gauss(0, 1) for _ in range(3)]) for i in range(0, 30, 2)] + [("w2", [9.0, -9.0, 0.5])]
+    vectors = spark.createDataFrame(table, "w string, v array<float>")
+
+    def run(max_bytes):
+        found = embeddings.document_vectors(df, "id", "t", vectors, "w", "v", max_bytes=max_bytes)
+        assert max_bytes or "Summarizer" not in found._jdf.queryExecution().toString()
+        return sorted(map(tuple, found.collect()), key=str)
+
+    want, found = run(1 << 20), run(0)
+    assert [r[0] for r in found] == [r[0] for r in want] and len(found) == 93
+    for (_, *a), (_, *b) in zip(found, want, strict=True):
+        assert [x is None for x in a] == [x is None for x in b]
+        assert a[0] is None or a[0] == b[0] and a[1] == pytest.approx(b[1])
+
+
 def test_pruned_vocabulary_equals_counting_all_ngrams(spark, monkeypatch):
     draw = random.Random(4)
     words = ["a", "b", "c", "dd", "ee", "f g"]
