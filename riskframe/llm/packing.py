@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from riskframe.llm.common import arrow_schema, map_batches, worker_memory
 from riskframe.operators.rank import running_totals
@@ -40,7 +40,7 @@ from riskframe.session import checkpointed, scratch_path
 WINDOW = 2048
 END_ID = 1
 MEMORY_CHARS, MEMORY_WORDS = 40, 150_000
-JOINED_WORDS = 2000
+JOINED_WORDS = 400
 #: Letters that neither case nor normal form changes beyond themselves, then ASCII marks: two pre-tokens, or one.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 #: Marks that compose with letters; elsewhere A-Z may be lower-cased before the tokenizer does.
@@ -57,6 +57,12 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # For plain words that are lower-cased and cut already: no normal form, no pattern.
+        self.quick = Tokenizer.from_file(path)
+        self.quick.encode_special_tokens = True
+        self.quick.normalizer = None
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
         # With ``special``: what the tokenizer takes for a token of its own, wherever it stands in a text.
         added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
         self.literals = [t.content.lower() for t in added]
@@ -83,9 +89,10 @@ class WordEncoder:
             self.tokenizer.encode_special_tokens = True
 
     def plain_ids(self, words: list[str], pieces: list[int]) -> Iterator[bytes]:
-        """Ids of words of so many pre-tokens, encoded together and cut at the ids that end a pre-token."""
+        """Ids of words of so many pre-tokens, set apart by spaces; encoded together and cut at the ids that end a pre-token."""
         for i in range(0, len(words), JOINED_WORDS):
-            joined = self.tokenizer.encode_batch_fast([" ".join(words[i : i + JOINED_WORDS])], add_special_tokens=False)
+            text = " ".join(words[i : i + JOINED_WORDS]).lower()
+            joined = self.quick.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(joined[0].ids, self.kind)
             last = np.flatnonzero(self.ends[ids])[np.cumsum(pieces[i : i + JOINED_WORDS]) - 1]
             raw, a = ids.tobytes(), 0
@@ -95,15 +102,18 @@ class WordEncoder:
 
     def fresh_ids(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of words without white space, those of plain letters and marks many at a time."""
-        plain, pieces, rest = [], [], []
+        plain, apart, pieces, rest = [], [], [], []
         for w in words:
             m = PLAIN.fullmatch(w)
             if m and w:
+                cut = m.end(1)
+                both = 0 < cut < len(w)
                 plain.append(w)
-                pieces.append((m.end(1) > 0) + (m.end(1) < len(w)))
+                apart.append(f"{w[:cut]} {w[cut:]}" if both else w)
+                pieces.append(1 + both)
             else:
                 rest.append(w)
-        yield from zip(plain, self.plain_ids(plain, pieces), strict=True)
+        yield from zip(plain, self.plain_ids(apart, pieces), strict=True)
         for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             yield w, np.array(found.ids, self.kind).tobytes()
 

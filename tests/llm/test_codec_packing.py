@@ -91,6 +91,27 @@ def test_words_encode_as_whole_texts(monkeypatch):
             assert np.frombuffer(ids, own.kind).tolist() == want
 
 
+def test_plain_words_skip_the_normal_form():
+    own, whole = packing.WordEncoder(WORD_BPE, 1), Tokenizer.from_file(WORD_BPE)
+    plain = ["Äpfel", "straße", "ÀÖØÞß", "don", "tiktok!?", "...", "a_b", "'s", "x's", "l'été", "ÿ}", "`^", "Q.", "<end>", "ZÏ''"]
+
+    class Counting:
+        """Counts the texts that take the whole way."""
+
+        seen = 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.seen += sum(bool(packing.PLAIN.fullmatch(t.replace(" ", ""))) for t in texts)
+            return whole.encode_batch_fast(texts, **how)
+
+    whole.encode_special_tokens = True
+    own.tokenizer = Counting()
+    text = " ".join(plain * 60 + [a + b for a in plain for b in plain])
+    ids = np.frombuffer(own.encode([text])[0], own.kind).tolist()
+    assert ids == whole.encode(text, add_special_tokens=False).ids + [1]
+    assert own.tokenizer.seen == 0
+
+
 def test_special_tokens_in_texts_encode_as_by_default():
     own, whole = packing.encoder(WORD_BPE, 1), Tokenizer.from_file(WORD_BPE)
     sample = ["a <|endoftext|> b", "Plain text.", "x<|startoftext|>y\n<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> é", "a <| b"]
