@@ -116,6 +116,20 @@ def test_word_index_and_sequences(docs):
             assert r["ids"] == (known + [0] * 4)[:4]
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
+def test_sequences_of_repeated_null_and_unknown(spark, max_bytes):
+    rows = [(1, ["b", "a", None, "z", "a"]), (2, ["z"]), (2, ["a", "b"]), (3, None), (None, ["b"])]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    index = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "term string, word_id long")
+    found = sequences.text_to_ids(df, "id", "t", index, max_bytes=max_bytes)
+    assert found.schema.simpleString() == "struct<id:bigint,ids:array<bigint>>"
+    assert {r["id"]: r["ids"] for r in found.collect()} == {1: [2, 1, 1], 2: [1, 2], 3: [], None: [2]}
+    once = sequences.text_to_ids(df.where("id != 2"), "id", "t", index, max_bytes=max_bytes)
+    assert {r["id"]: r["ids"] for r in once.collect()} == {1: [2, 1, 1], 3: []}
+    if max_bytes:
+        assert "Exchange hashpartitioning" not in once._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dict_vectorize(spark):
     df = spark.createDataFrame([(1, {"b": 2.0, "a": 1.0}), (2, {"c": 3.0})], "id long, m map<string,double>")
     found = {(r["id"], r["feature_id"]): r["value"] for r in vocab.dict_vectorize(df, "id", "m").collect()}

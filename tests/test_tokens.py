@@ -76,6 +76,20 @@ def test_rewriting_by_lexicon(spark, max_bytes):
     assert [r["lemmas"] for r in found] == [["loan", "pay", "loan", "pay", "loan"], [], ["city", "pay"]]
 
 
+def test_rewriting_moves_blocks_not_tokens(spark):
+    rows = [(7, ["loans", None, "x"]), (None, ["paying"]), (7, ["paying", "loans"]), (None, ["y"]), (3, None)]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    lemmas = spark.createDataFrame(
+        [("loans", "noun", "loan"), ("paying", "verb", "pay"), ("paying", "noun", "wrong"), ("y", "noun", None)], "token string, class string, lemma string"
+    )
+    rewritten = lexicon.rewrite_tokens(df, "id", "t", lemmas)
+    # Rows of one key are put together by places, equal places in the order of the words.
+    assert {r["id"]: r["lemmas"] for r in rewritten.collect()} == {7: ["loan", "pay", "loan", "x"], None: ["pay", "y"], 3: []}
+    alone = lexicon.rewrite_tokens(df.where("id = 3 or t[0] = 'y'"), "id", "t", lemmas)
+    assert "Exchange hashpartitioning" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"] or 0, r["lemmas"]) for r in alone.collect()) == [(0, ["y"]), (3, [])]
+
+
 def test_lexicon_score(spark):
     df = spark.createDataFrame([(1, ["good", "good", "bad"]), (2, []), (3, ["plain"])], "id long, t array<string>")
     scores = spark.createDataFrame([("good", 2.0), ("bad", -1.5)], "token string, score double")
