@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -93,6 +94,14 @@ def test_other_classifiers_learn(table):
     assert net.filter(F.col("prediction") == F.col("truth")).count() > 280
 
 
+def test_vector_sizes_leave_sparse_vectors_sparse(spark):
+    wide = Vectors.sparse(2_000_000_000, [3, 7, 9], [1.0, 0.0, float("nan")])
+    rows = [(0, wide), (1, Vectors.dense([0.0, 2.0, -0.0])), (2, Vectors.sparse(4, [], []))]
+    df = spark.createDataFrame(rows, ["id", "v"])
+    found = df.select("id", *prep.vector_sizes("v")).orderBy("id").collect()
+    assert [tuple(r) for r in found] == [(0, 2_000_000_000, 2), (1, 3, 1), (2, 4, 0)]
+
+
 def test_weighted_union(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0])], "a array<double>, b array<double>")
     df = df.select(array_to_vector("a").alias("a"), array_to_vector("b").alias("b"))
@@ -184,6 +193,14 @@ def test_tfidf_vectors_keep_every_row(spark):
         assert np.allclose(row, [weights.get((key, j), 0.0) for j in range(2)])
 
 
+def test_sparse_products_of_arrow_rows():
+    batch = pa.RecordBatch.from_pydict({"terms": [[1], [0, 2], []], "values": [[2.0], [1.0, 3.0], []]}).slice(1)
+    x = topics._Sparse(batch)
+    X, H, W = np.array([[1.0, 0, 3], [0, 0, 0]]), np.arange(6.0).reshape(2, 3), np.array([[1.0, 2], [3, 4]])
+    assert np.array_equal(x.times(x.val, H), X @ H.T)
+    assert np.array_equal(x.transposed_times(x.val, W, 3), W.T @ X)
+
+
 def test_top_terms(spark, blocks):
     vocabulary = spark.createDataFrame([(i, f"t{i}") for i in range(3)], "term_id long, term string")
     H = np.array([[0.1, 0.9, 0.5], [3.0, 1.0, 2.0]])
