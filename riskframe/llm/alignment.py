@@ -18,7 +18,7 @@ their pairs, and read again to look these up; no text is tokenised twice and not
 
 Ids come from the tokenizer libraries by chunks: a chunk ends where a character that is no white space
 meets a space or a line break. No token of either side reaches over such a place (``Aligner`` checks the
-pieces), so chunks can be encoded by themselves and their ids remembered.
+pieces), so chunks can be encoded by themselves or side by side, cut apart at their bytes, and their ids remembered.
 
 A text that is null or empty, or whose tokens of one side don't add up to its bytes (as with U+2581, which
 sentencepiece reads as a space), has no tokens: its counts are 0 and its digest is empty. Texts of any length are
@@ -49,11 +49,14 @@ from riskframe.llm.common import arrow_schema, map_batches
 from riskframe.session import scratch_path
 
 #: A space may follow these without ending a chunk: white space by any definition.
-LOOSE = r"\s\u180e\u200b\ufeff"
+ODD_SPACE = "\u180e\u200b\ufeff"
+LOOSE = rf"\s{ODD_SPACE}"
 CHUNK = re.compile(rf"[ \n]*[^ \n]+(?:(?<=[{LOOSE}])[ \n]+[^ \n]*)*|[ \n]+")
 MARK = chr(0x2581)
 #: Chunks longer than this are encoded but not remembered; the memory is emptied when full.
-MEMORY_CHARS, MEMORY_CHUNKS = 64, 300_000
+MEMORY_CHARS, MEMORY_CHUNKS, MEMORY_IDS = 64, 300_000, 1 << 23
+#: Chunks encoded in one call of A's encoder, which has a cost of its own.
+GROUP = 32
 #: Rows of pair counts a task gathers before it adds them up.
 GATHERED = 1 << 20
 
@@ -112,51 +115,112 @@ class Encoder:
             if not self.b.is_byte(i) and re.search(rf"[^{MARK}{LOOSE}][{MARK}\n]", piece):
                 raise ValueError(f"piece {piece!r} reaches over the end of a word")
         self.text_a, self.text_b = (pa.array(map(str, range(len(x)))) for x in (self.size_a, self.size_b))
-        #: Ids of A and of B; B's are None where they don't give the chunk's bytes.
-        self.memory: dict[str, tuple[bytes, bytes | None]] = {}
-
-    def encode_chunks(self, chunks: list[str]) -> Iterator[tuple[bytes, bytes | None]]:
-        """A letter before a chunk takes the space that B adds, and no piece joins it with the chunk."""
+        self.memory = Memory()
+
+    def encode_a(self, chunks: list[str], raw: list[bytes]) -> Ids:
+        """A's ids of chunks, ``GROUP`` of them put together: no token reaches over the end of one that others may follow."""
+        groups, start = [], 0
+        for stop in [*(i + 1 for i, c in enumerate(chunks) if c[-1].isspace() or c[-1] in ODD_SPACE), len(chunks)]:
+            groups += ["".join(chunks[i : min(i + GROUP, stop)]) for i in range(start, stop, GROUP)]
+            start = stop
+        together = Ids.of(self.a.encode_batch_fast(groups, add_special_tokens=False), self.bytes_a, self.sizes[0])
+        cut = together.cut_at(np.cumsum([len(x) for x in raw]))
+        # Only a tokenizer whose tokens don't add up to the text has ends of chunks inside tokens.
+        return cut or Ids.of(self.a.encode_batch_fast(chunks, add_special_tokens=False), self.bytes_a, self.sizes[0])
+
+    def learn(self) -> None:
+        """Ids of the chunks that wait in the memory.
+
+        For B, a letter before a chunk takes the space that B adds, and no piece joins it with the chunk.
+        """
+        memory, chunks = self.memory, self.memory.fresh
+        if not chunks:
+            return
         raw = [c.encode() for c in chunks]
-        of_a = Ids([x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)], self.bytes_a, self.sizes[0])
-        of_b = Ids(self.b.encode(["a" + c for c in chunks], num_threads=1), self.bytes_b, self.sizes[1])
+        of_a = self.encode_a(chunks, raw)
+        of_b = Ids.of(self.b.encode(["a" + c for c in chunks], num_threads=1), self.bytes_b, self.sizes[1])
         fits = of_a.spell(raw) & of_b.spell([b" a" + x for x in raw])
-        for a, b, whole in zip(of_a.cut(0), of_b.cut(1), fits.tolist(), strict=True):
-            yield a, b if whole else None
-
-    def chunk_ids(self, chunks: list[str]) -> list[tuple[bytes, bytes | None]]:
-        """Ids of distinct chunks. All but long ones are remembered."""
-        memory = self.memory
-        if len(memory) > MEMORY_CHUNKS:
-            memory.clear()
-        fresh = [c for c in chunks if c not in memory]
-        found = dict(zip(fresh, self.encode_chunks(fresh), strict=True)) if fresh else {}
-        memory.update((c, x) for c, x in found.items() if len(c) <= MEMORY_CHARS)
-        return [found[c] if c in found else memory[c] for c in chunks]
+        memory.add((of_a, of_b.without_first()), fits)
 
     def encode(self, texts: list[str | None]) -> tuple[pa.ListArray, pa.ListArray]:
         """Ids of A and of B by text; a text has none where the bytes of one side differ from its own."""
+        if self.memory.full():
+            self.memory = Memory()
+        memory = self.memory
         split = [CHUNK.findall(" " + t) if t else [] for t in texts]
         counts = np.array([len(x) for x in split], np.int64)
-        coded = pa.array(chain.from_iterable(split), pa.string(), size=int(counts.sum())).dictionary_encode()
-        places, edges = coded.indices.to_numpy(), np.r_[0, np.cumsum(counts)]
-        ids = self.chunk_ids(coded.dictionary.to_pylist())
-        bad = np.flatnonzero(np.array([b is None for _, b in ids], bool)[places])
+        places = np.fromiter(map(memory.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self.learn()
+        edges = np.r_[0, np.cumsum(counts)]
+        bad = np.flatnonzero(~memory.fits[places])
         if len(bad):
             keep = np.ones(len(split), bool)
             keep[np.searchsorted(edges, bad, side="right") - 1] = False
             places = places[np.repeat(keep, counts)]
             edges = np.r_[0, np.cumsum(counts * keep)]
-        return tuple(joined([x[side] or b"" for x in ids], places, edges) for side in (0, 1))
+        return memory.lists(0, places, edges), memory.lists(1, places, edges)
 
 
-class Ids:
-    """Ids of a list of texts, in one array."""
+class Memory(dict):
+    """The place of every chunk met among the ids of each side. Chunks met for the first time wait in ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+        self.flat = [np.zeros(0, np.int32)] * 2
+        self.lengths = [np.zeros(0, np.int64)] * 2
+        self.fits = np.zeros(0, bool)
+
+    def __missing__(self, chunk: str) -> int:
+        place = self[chunk] = len(self.fits) + len(self.fresh)
+        self.fresh.append(chunk)
+        return place
+
+    def add(self, ids: tuple[Ids, Ids], fits: np.ndarray) -> None:
+        """The ids of the chunks in ``fresh``. Long chunks are not remembered for other slices."""
+        self.flat = [np.concatenate([x, i.flat]) for x, i in zip(self.flat, ids, strict=True)]
+        self.lengths = [np.concatenate([x, i.lengths]) for x, i in zip(self.lengths, ids, strict=True)]
+        self.fits = np.concatenate([self.fits, fits])
+        for chunk in self.fresh:
+            if len(chunk) > MEMORY_CHARS:
+                del self[chunk]
+        self.fresh = []
 
-    def __init__(self, ids: list[list[int]], tokens: list[bytes], sizes: np.ndarray):
-        self.lengths = np.array([len(x) for x in ids], np.int64)
-        self.flat = np.fromiter(chain.from_iterable(ids), np.int32, int(self.lengths.sum()))
-        self.tokens, self.sizes = tokens, sizes
+    def full(self) -> bool:
+        return len(self.fits) > MEMORY_CHUNKS or max(map(len, self.flat)) > MEMORY_IDS
+
+    def lists(self, side: int, places: np.ndarray, edges: np.ndarray) -> pa.ListArray:
+        """One side's ids at ``places``, in lists that end at ``edges``."""
+        sizes = self.lengths[side]
+        offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+        flat = pa.ListArray.from_arrays(offsets, self.flat[side]).take(pa.array(places)).flatten()
+        ends = np.r_[0, np.cumsum(sizes[places])]
+        return pa.ListArray.from_arrays(pa.array(ends[edges], pa.int32()), flat)
+
+
+@dataclass
+class Ids:
+    """Ids of a list of texts, in one array; ``tokens`` and ``sizes`` belong to the vocabulary."""
+
+    flat: np.ndarray
+    lengths: np.ndarray
+    tokens: list[bytes]
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, encoded: list, tokens: list[bytes], sizes: np.ndarray) -> Ids:
+        """From what a tokenizer library returns: lists, or objects with a list ``ids``."""
+        ids = [getattr(x, "ids", x) for x in encoded]
+        lengths = np.array([len(x) for x in ids], np.int64)
+        return cls(np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths, tokens, sizes)
+
+    def cut_at(self, ends: np.ndarray) -> Ids | None:
+        """The same ids as those of texts that end at these bytes; None where an end is not that of a token."""
+        sizes = self.sizes[self.flat]
+        running = np.cumsum(sizes)
+        after = np.searchsorted(running, ends) + 1
+        if not len(running) or not sizes.all() or running[-1] != ends[-1] or (running[after - 1] != ends).any():
+            return None
+        return Ids(self.flat, np.diff(after, prepend=0), self.tokens, self.sizes)
 
     def spell(self, raw: list[bytes]) -> np.ndarray:
         """Whether the tokens of each text add up to its bytes."""
@@ -168,21 +232,10 @@ class Ids:
         cuts = np.r_[0, ends].tolist()
         return np.array([spelled[a:b] == x for a, b, x in zip(cuts, cuts[1:], raw)], bool)
 
-    def cut(self, drop: int) -> Iterator[bytes]:
-        """The ids of each text without the first ``drop``, as 32-bit integers."""
-        raw, at = self.flat.tobytes(), 0
-        for n in (4 * self.lengths).tolist():
-            yield raw[at + 4 * drop : at + n]
-            at += n
-
-
-def joined(ids: list[bytes], places: np.ndarray, edges: np.ndarray) -> pa.ListArray:
-    """The ids at ``places``, in lists that end at ``edges``."""
-    sizes = np.array([len(x) // 4 for x in ids], np.int64)
-    offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
-    flat = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(ids), "<i4")).take(pa.array(places)).flatten()
-    ends = np.r_[0, np.cumsum(sizes[places])]
-    return pa.ListArray.from_arrays(pa.array(ends[edges], pa.int32()), flat)
+    def without_first(self) -> Ids:
+        """The ids without the first of each text."""
+        firsts = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
+        return Ids(np.delete(self.flat, firsts), np.maximum(self.lengths - 1, 0), self.tokens, self.sizes)
 
 
 @functools.lru_cache(maxsize=2)
@@ -240,7 +293,9 @@ def align(a: pa.ListArray, b: pa.ListArray, work: Encoder) -> Alignment:
     keys_a, keys_b = end_keys(a, work.size_a), end_keys(b, work.size_b)
     at_a, at_b = common_ends(keys_a, keys_b)
     parent = pc.list_parent_indices(a).to_numpy()
-    cuts_a, cuts_b = last_of_key(at_a, keys_a), np.sort(np.unique(last_of_key(at_b, keys_b)))
+    last_b = np.zeros(len(keys_b), bool)
+    last_b[last_of_key(at_b, keys_b)] = True
+    cuts_a, cuts_b = last_of_key(at_a, keys_a), np.flatnonzero(last_b)
     texts = pc.binary_join_element_wise(
         group_strings(a, cuts_a, work.text_a), group_strings(b, cuts_b, work.text_b), "|"
     )

@@ -181,6 +181,32 @@ def test_alignment_query_equals_the_libraries(spark, small):
     assert list(map(columns, rows)) == expected(table["text"].to_pylist())
 
 
+class Counted:
+    """An encoder that notes how many texts it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.given = inner, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += len(texts)
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_alignment_encodes_chunks_together():
+    words = [f"w{i}\u00e9{'x' * (i % 70)}" for i in range(600)]
+    odd = ["a\t b\u200b c", "  \n\n x", "tail \n", "", None, "\u2581 no", "<|endoftext|> it's", "\ufeff\n\u00a0 y z ", "\u4e2d\u6587 \U0001f600\n"]
+    texts = [" ".join(words), *odd, "\n".join(reversed(words)), *odd]
+    work = alignment.Encoder(BYTE_BPE, PIECE_BPE)
+    work.a = counted = Counted(work.a)
+    together = work.encode(texts)
+    assert counted.given < 100
+    a, b = counted.inner, work.b
+    for text, of_a, of_b in zip(texts, together[0].to_pylist(), together[1].to_pylist(), strict=True):
+        known = text and "\u2581" not in text
+        assert of_a == (a.encode(" " + text, add_special_tokens=False).ids if known else [])
+        assert of_b == (b.encode(text) if known else [])
+
+
 def test_alignment_memory_emptied_and_empty_table(spark, monkeypatch):
     monkeypatch.setattr(alignment, "MEMORY_CHUNKS", 3)
     work = alignment.Encoder(BYTE_BPE, PIECE_BPE)
