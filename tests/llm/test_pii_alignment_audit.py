@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -207,6 +208,15 @@ def test_alignment_encodes_chunks_together():
         assert of_b == (b.encode(text) if known else [])
 
 
+def test_ids_are_cut_only_at_ends_of_tokens():
+    ids = alignment.Ids.of([[0, 1, 0]], [b"ab", b"c", b""], np.array([2, 1, 0]))
+    assert ids.cut_at(np.array([3, 5])).lengths.tolist() == [2, 1]
+    assert ids.cut_at(np.array([1, 5])) is None
+    assert ids.cut_at(np.array([3, 6])) is None
+    assert alignment.Ids.of([[0, 2, 1]], ids.tokens, ids.sizes).cut_at(np.array([2, 3])) is None
+    assert ids.without_first().flat.tolist() == [1, 0]
+
+
 def test_alignment_memory_emptied_and_empty_table(spark, monkeypatch):
     monkeypatch.setattr(alignment, "MEMORY_CHUNKS", 3)
     work = alignment.Encoder(BYTE_BPE, PIECE_BPE)
